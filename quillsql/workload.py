@@ -1,0 +1,24 @@
+"""Query catalogue: Spark queries and the SQL that an oracle runs on the same tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+PRICING = """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty,
+ROUND(AVG(l_extendedprice), 2) AS avg_price, COUNT(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01 00:00:00' GROUP BY l_returnflag, l_linestatus"""
+
+
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return spark.sql(PRICING)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pricing_summary": pricing_summary}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pricing_summary": PRICING}
