@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import url_filters
-from quillsql.llm.common import table
+from quillsql.llm import packing, url_filters, warc
+from quillsql.llm.common import cut_lineage, table
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = cut_lineage(warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages"))))
+    return warc.read_bundles(bundles, payloads=False).drop("payload")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +37,8 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_warc": op3_warc,
         "op5_url_filters": op5_url_filters,
     }
 
