@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import packing, url_filters, warc
+from quillsql.llm import html_text, packing, quality, url_filters, warc
 from quillsql.llm.common import cut_lineage, table
 
 
@@ -35,11 +35,23 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return measured.select("doc_id", *(name for name, _ in quality.METRICS))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_warc": op3_warc,
         "op5_url_filters": op5_url_filters,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_html_extraction": op7_html_extraction,
     }
 
 
