@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import html_text, packing, quality, url_filters, warc
+from quillsql.llm import html_text, packing, pii, quality, url_filters, warc
 from quillsql.llm.common import cut_lineage, table
 
 
@@ -45,6 +45,22 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
 
 
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, _of_kind(k))) for k in range(pii.BASE_KINDS)]
+    return found.select(
+        "doc_id",
+        *(c.cast("long").alias(f"n_{pii.KINDS[k]}") for k, c in enumerate(counts)),
+        F.sha2(F.encode(pii.span_list(base), "UTF-8"), 256).alias("base_sha256"),
+        pii.span_list(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -52,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filters": op5_url_filters,
         "op6_quality_rules": op6_quality_rules,
         "op7_html_extraction": op7_html_extraction,
+        "op8_pii": op8_pii,
     }
 
 
