@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import html_text, packing, pii, quality, url_filters, warc
+from quillsql.llm import html_text, line_dedup, packing, pii, quality, url_filters, warc
 from quillsql.llm.common import cut_lineage, table
 
 
@@ -22,6 +22,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept_lines", "text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = cut_lineage(warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages"))))
     return warc.read_bundles(bundles, payloads=False).drop("payload")
@@ -64,6 +69,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_line_dedup": op2_line_dedup,
         "op3_warc": op3_warc,
         "op5_url_filters": op5_url_filters,
         "op6_quality_rules": op6_quality_rules,
