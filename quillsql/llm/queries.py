@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import html_text, line_dedup, packing, pii, quality, url_filters, warc
+from quillsql.llm import html_text, jaccard_join, line_dedup, packing, pii, quality, sentencepieces, url_filters, warc
 from quillsql.llm.common import cut_lineage, table
 
 
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles, payloads=False).drop("payload")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.default_model(spark))
     return judged.select(
@@ -66,15 +70,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_line_dedup": op2_line_dedup,
         "op3_warc": op3_warc,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_url_filters": op5_url_filters,
         "op6_quality_rules": op6_quality_rules,
         "op7_html_extraction": op7_html_extraction,
         "op8_pii": op8_pii,
+        "op9_sentencepiece": op9_sentencepiece,
     }
 
 
