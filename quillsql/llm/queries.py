@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsql.llm import html_text, jaccard_join, line_dedup, packing, pii, quality, sentencepieces, url_filters, warc
+from quillsql.llm import html_text, jaccard_join, line_dedup, packing, pii, quality, sentencepieces, topk_search, url_filters, warc
 from quillsql.llm.common import cut_lineage, table
 
 
@@ -74,6 +74,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query against all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return topk_search.search(asked, docs).withColumn("score", F.round("score", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -85,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_extraction": op7_html_extraction,
         "op8_pii": op8_pii,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_topk_search": op10_topk_search,
     }
 
 

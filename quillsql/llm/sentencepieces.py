@@ -197,10 +197,15 @@ class PieceModel:
         order = np.argsort(begin)
         return begin[order], end[order]
 
-    def split(self, text: str) -> list[str]:
-        """A text's words with their marks. No piece reaches over the start of a run of marks or a line's end."""
-        if self.joined or MARK in text or "\0" in text:
-            return [text]
+    def split(self, text: str) -> list[str] | None:
+        """A text's words with their marks; None if it holds the mark or the separator of the index.
+
+        No piece reaches over the start of a run of marks or a line's end.
+        """
+        if MARK in text or "\0" in text:
+            return None
+        if self.joined:
+            return [(MARK + text).replace(" ", MARK)]
         words: list[str] = []
         for n, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
             if n:
@@ -218,16 +223,16 @@ class PieceModel:
                 words.append(MARK * marks)
         return words
 
-    def encode(self, texts: list[str], most_words: int = 300_000) -> list[list[int]]:
+    def encode(self, texts: list[str], most_words: int = 500_000) -> list[list[int]]:
         split = [self.split(t) if t else [] for t in texts]
         if len(self.words) > most_words:
             self.words.clear()
-        new = {w for words in split for w in words if len(words) > 1 or MARK not in w[1:]} - self.words.keys()
+        new = {w for words in split if words for w in words} - self.words.keys()
         if new:
             self.encode_words(sorted(new))
         known, out = self.words, []
         for text, words in zip(texts, split, strict=True):
-            if len(words) == 1 and words[0] not in known:
+            if words is None:
                 out.append(self.processor.encode(text))
                 continue
             ids: list[int] = []
