@@ -8,7 +8,7 @@ insertion, deletion or substitution. Earlier is by (doc_id, line number).
    hence one half of the shorter one's length. Lines whose halves nobody shares are done.
 3. For the rest, every variant with one word deleted from the other half is hashed. Lines that differ by a
    substitution share the variant and its place; a line with one word more shares its variant with the
-   shorter line itself. Each group is reduced to its first lines, never to its pairs.
+   shorter line itself, cut at that place. Each group is reduced to its first lines, never to its pairs.
 4. Every (line, earlier line) so found is verified word by word.
 
 Every grouping is an aggregate of fixed-size values, or an equi-join that adaptive execution can split.
@@ -47,22 +47,36 @@ def _half_keys(words: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _variants(words: Column, n: Column, half: Column) -> Column:
-    """[(key, whole)]: what a line emits for one shared half (0, 1: front, rest of n words; 2, 3: of n - 1)."""
+def _chains(words: Column) -> tuple[Column, Column]:
+    """(front, rest): front[i] hashes the first i words, rest[i] those from i on."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    none = F.array(F.lit(0).cast("long"))
+    front = F.aggregate(hashes, none, lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
+    rest = F.aggregate(F.reverse(hashes), none, lambda acc, x: F.concat(F.array(F.xxhash64(x, F.get(acc, F.lit(0)))), acc))
+    return front, rest
+
+
+def _variants(front: Column, rest: Column, n: Column, half: Column) -> Column:
+    """[(key, whole)]: what a line emits for one shared half (0, 1: front, rest of n words; 2, 3: of n - 1).
+
+    A variant is hashed from the words before and after its gap, in constant time from the chains. Variants
+    of n words serve substitutions; those of n - 1 serve the lines that have one word less, which emit
+    themselves once for each place of the gap.
+    """
     less = F.when(half >= 2, 1).otherwise(0)
-    front = F.floor((n - less) / 2).cast("int")
-    rest = (n - less - front).cast("int")
-    first = F.when(half % 2 == 0, front).otherwise(0)
-    last = F.when(half % 2 == 0, n - 1).otherwise(n - rest - 1)
-    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    size = F.floor((n - less) / 2).cast("int")
+    first = F.when(half % 2 == 0, size).otherwise(0)
+    last = F.when(half % 2 == 0, n - 1).otherwise(n - (n - less - size).cast("int") - 1)
+    none = F.array().cast("array<int>")
+
+    def gap(i: Column) -> Column:
+        return F.struct(F.xxhash64(F.get(front, i), F.get(rest, i + 1), F.when(less == 0, i).otherwise(-1 - i)).alias("key"), F.lit(False).alias("whole"))
 
-    def key(i: Column) -> Column:
-        left = F.concat_ws(" ", F.slice(words, F.lit(1), i), F.slice(words, i + 2, n))
-        return F.struct(F.xxhash64(left, F.when(less == 0, i).otherwise(-1)).alias("key"), F.hash(left).alias("key2"), F.lit(False).alias("whole"))
+    def itself(i: Column) -> Column:
+        return F.struct(F.xxhash64(F.get(front, i), F.get(rest, i), -1 - i).alias("key"), F.lit(True).alias("whole"))
 
-    text = F.concat_ws(" ", words)
-    itself = F.array(F.struct(F.xxhash64(text, F.lit(-1)).alias("key"), F.hash(text).alias("key2"), F.lit(True).alias("whole")))
-    return F.when(less == 0, F.concat(F.transform(places, key), itself)).otherwise(F.transform(places, key))
+    gaps = F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(none), gap)
+    return F.when(less == 0, F.concat(gaps, F.transform(F.sequence(first, last + 1), itself))).otherwise(gaps)
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -83,8 +97,8 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def first_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row for each distinct line with words: its place and, from min_words on, its half keys."""
-    lines = docs.select("_doc", F.posexplode("_lines").alias("pos", "line"))
-    words = lines.select(_order(F.col("_doc"), F.col("pos")).alias("place"), _words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    lines = docs.select("_doc", F.posexplode("_lines").alias("pos", "line")).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+    words = lines.select(_order(F.col("_doc"), F.col("pos")).alias("place"), _words(F.col("line")).alias("w"))
     text = F.concat_ws(" ", "w")
     keys = F.when(F.size("w") >= min_words, _half_keys(F.col("w"), F.size("w")))
     hashed = words.select("place", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), keys.alias("k"))
@@ -104,14 +118,16 @@ def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     lines = docs.select("_doc", "_lines").join(by_doc, "_doc").select("_doc", "_lines", F.explode("want").alias("x"))
     lines = lines.select(_order(F.col("_doc"), F.col("x.pos")).alias("place"), "x.half", F.element_at("_lines", F.col("x.pos") + 1).alias("line"))
     lines = cut_lineage(lines.groupBy("place", "line").agg(F.collect_set("half").alias("halves")))
-    words = lines.select("place", _words(F.col("line")).alias("w"), F.explode("halves").alias("half"))
-    emitted = words.select("place", F.explode(_variants(F.col("w"), F.size("w"), F.col("half"))).alias("v")).select("place", "v.*")
+    front, rest = _chains(_words(F.col("line")))
+    chained = lines.select("place", "halves", front.alias("front"), rest.alias("rest")).withColumn("n", F.size("front") - 1)
+    words = chained.select("place", "front", "rest", "n", F.explode("halves").alias("half"))
+    emitted = words.select("place", F.explode(_variants(F.col("front"), F.col("rest"), F.col("n"), F.col("half"))).alias("v")).select("place", "v.*")
     groups = (
-        emitted.groupBy("key", "key2")
+        emitted.groupBy("key")
         .agg(F.min("place").alias("least"), F.max("place").alias("most"), F.min(F.when(F.col("whole"), F.col("place"))).alias("itself"))
         .where("least < most")
     )
-    met = emitted.join(groups, ["key", "key2"])
+    met = emitted.join(groups, "key")
     # in a group of one substitution the first line serves all; else the shorter line serves the longer ones, and their first serves it
     earlier = F.when(F.col("itself").isNull() | F.col("whole"), F.col("least")).otherwise(F.col("itself"))
     pairs = met.select("place", earlier.alias("earlier")).where("earlier < place").distinct()
