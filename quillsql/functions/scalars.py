@@ -69,6 +69,10 @@ def like(op: str, value, pattern, escape, no: bool):
         mark = "\x01" if escape is None else escape
         if len(mark) != 1:
             raise SqlError("ESCAPE expression must be a single character")
+        if escape is not None and pattern.is_literal and isinstance(pattern.literal, str):
+            # Spark refuses an escape before an ordinary character; there it means nothing
+            kept = re.sub(re.escape(mark) + "(.)", lambda m: m[0] if m[1] in "%_" + mark else m[1], pattern.literal, flags=re.S)
+            p = ty.quote(kept)
         sql = f"({v} ILIKE {p} ESCAPE {ty.quote(mark)})"
     elif op == "GLOB":
         sql = f"({v} RLIKE {ty.quote(glob_regex(pattern.literal))})" if pattern.is_literal and pattern.literal is not None else f"quill_glob({p}, {v})"

@@ -419,8 +419,9 @@ def _with_rowids(engine, table: Table, new: DataFrame) -> DataFrame:
     alias = table.rowid_alias
     wanted = F.col(ty.ident(alias)) if alias else F.col(ROWID)
     counts = new.agg(F.count(F.lit(1)).alias("n"), F.count(wanted).alias("given"), F.max(wanted).alias("top")).first()
-    if not table.top and table.parts:
-        table.top = engine.frame(table).agg(F.max(ROWID)).first()[0] or 0
+    if not any(c.auto for c in table.columns):
+        # the next id follows the largest that is there; AUTOINCREMENT follows the largest that ever was
+        table.top = engine.frame(table).agg(F.max(ROWID)).first()[0] or 0 if table.parts else 0
     if counts["given"] == 0:
         ids = F.col(SEQ) + table.top
         top = table.top + counts["n"]
