@@ -59,9 +59,13 @@ def _tokens(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.array([source.getrandbits(64) for _ in range(n)], np.uint64)
 
 
-def signature(found: np.ndarray, n: int = 64) -> np.ndarray:
-    a, b = _tokens(n)
-    return np.array([((found * x + y) >> np.uint64(33)).min() for x, y in zip(a, b, strict=True)], np.int64).astype(np.int32)
+def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 4096) -> np.ndarray:
+    """The least value of every token's hash over the shingles."""
+    best = None
+    for s in range(0, len(found), width):
+        low = (found[None, s : s + width] * a[:, None] + b[:, None]).min(axis=1)
+        best = low if best is None else np.minimum(best, low)
+    return (best >> np.uint64(33)).astype(np.int32)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, tokens: int, words: int) -> DataFrame:
@@ -74,7 +78,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, tokens: int, words: i
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sigs.append(np.array([((found * x + y) >> np.uint64(33)).min() for x, y in zip(a, b, strict=True)], np.int64).astype(np.int32) if len(found) else None)
+                sigs.append(signature(found, a, b) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "key", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -108,26 +112,58 @@ def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
         root = new
 
 
-def _leaf_edges(least: float):
-    """(a, b): each member with a likely partner to its group's least, by equal signature tokens."""
+def _near_pairs(sig: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: the rows of sig that share at least near tokens."""
+    n, left, right = len(sig), [], []
+    step = max(1, 4_000_000 // (n * sig.shape[1] + 1))
+    for s in range(0, n, step):
+        i, j = np.nonzero((sig[s : s + step, None, :] == sig[None, :, :]).sum(axis=2) >= near)
+        i += s
+        left.append(i[i < j])
+        right.append(j[i < j])
+    return np.concatenate(left), np.concatenate(right)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
-        n = len(pdf)
-        sig = np.array(pdf["sig"].tolist(), np.int32) if n else np.empty((0, 1), np.int32)
-        near = int(math.ceil(least * sig.shape[1]))
-        left, right = [], []
-        step = max(1, 4_000_000 // (n * sig.shape[1] + 1))
-        for s in range(0, n, step):
-            same = (sig[s : s + step, None, :] == sig[None, :, :]).sum(axis=2) >= near
-            i, j = np.nonzero(same)
-            i += s
-            left.append(i[i < j])
-            right.append(j[i < j])
-        root = _forest((np.concatenate(left), np.concatenate(right)), n) if n else np.arange(0)
-        moved = np.nonzero(root != np.arange(n))[0]
-        keys = pdf["key"].to_numpy()
-        return pd.DataFrame({"a": keys[moved], "b": keys[root[moved]]})
+
+def _leaf_edges(least: float, tokens: int):
+    """Over rows (node, key, sig) in order of node: (a, b), each member of a node with a likely partner to its group's least.
+
+    Most nodes have two members: those are compared all at once.
+    """
+    near = math.ceil(least * tokens)
+
+    def compared(nodes: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        starts = np.nonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))[0]
+        sizes = np.diff(np.concatenate([starts, [len(nodes)]]))
+        two = starts[sizes == 2]
+        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= near]
+        a, b = [np.where(keys[two] < keys[two + 1], two + 1, two)], [np.where(keys[two] < keys[two + 1], two, two + 1)]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            order = start + np.argsort(keys[start : start + size], kind="stable")
+            i, j = _near_pairs(sig[order], near)
+            if len(i):
+                root = _forest((i, j), size)
+                moved = np.nonzero(root != np.arange(size))[0]
+                a.append(order[moved])
+                b.append(order[root[moved]])
+        return pa.RecordBatch.from_arrays([pa.array(keys[np.concatenate(x)], pa.binary()) for x in (a, b)], ["a", "b"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column(0).to_numpy()
+            keys = np.array(batch.column(1).to_pylist(), object)
+            sig = batch.column(2).flatten().to_numpy().reshape(len(nodes), tokens)
+            held.append((nodes, keys, sig))
+            if nodes[0] == nodes[-1] == held[0][0][0]:
+                continue  # one node goes on; node_limit bounds what is held
+            nodes, keys, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(nodes, nodes[-1]))
+            yield compared(nodes[:last], keys[:last], sig[:last])
+            held = [(nodes[last:], keys[last:], sig[last:])]
+        if held:
+            yield compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return work
 
@@ -138,7 +174,7 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float, tokens
     kept = 1 - math.exp(-(1 - math.exp(-1)))  # a pair at the threshold that is split twice
     runs = math.ceil(math.log(1 - recall) / math.log(1 - kept))
     spread = math.sqrt(similarity * (1 - similarity) / tokens)
-    leaf = _leaf_edges(similarity - 3.5 * spread)
+    leaf = _leaf_edges(similarity - 3.5 * spread, tokens)
     sig = F.col("sig")
     first = F.array(*[F.xxhash64(F.lit(r), F.lit(j), F.element_at(sig, j + 1)) for r, j in _roots(runs, tokens, chance)])
     rows = classes.select("key", F.explode(first).alias("node"))
@@ -150,7 +186,7 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float, tokens
         kept_rows = cut_lineage(rows.join(sizes, "node").select("node", "key", "n"))
         cuts.append(kept_rows)
         small = kept_rows.where(F.col("n") <= node_limit).join(classes, "key").select("node", "key", "sig")
-        found = small.groupBy("node").applyInPandas(leaf, "a binary, b binary")
+        found = small.repartition("node").sortWithinPartitions("node").mapInArrow(leaf, "a binary, b binary")
         edges = found if edges is None else edges.unionAll(found)
         large = kept_rows.where(F.col("n") > node_limit)
         if large.isEmpty():
@@ -222,7 +258,8 @@ def near_duplicates(
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "root").select(F.col("a").alias("key"), "root", "rep", "copies", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = placed.join(texts, "rep")
+    # always by a shuffle: a broadcast would only fit while the corpus is small
+    held = placed.join(texts.hint("merge"), "rep")
     squares = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
     )
