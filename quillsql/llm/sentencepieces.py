@@ -16,9 +16,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
-ENCODED = "ids array<int>, n_tokens long, round_trip boolean"
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -28,7 +28,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     step = 1
     while step < depth:
         ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:]
+        ahead[: max(0, n - step)] = rank[step:]
         both = rank * (n + len(codes) + 2) + ahead
         rank = np.unique(both, return_inverse=True)[1].astype(np.int64) + 1
         step *= 2
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", kind: str = "bp
     of the added names are replaced. A task holds the texts of one batch of at most about batch_chars.
     """
     keep = docs.drop("ids", "n_tokens", "round_trip").withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    schema = keep.drop(text).schema.add("ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    schema = keep.drop(text).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(vocabulary, kind)
