@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of HTML: elements without an end tag, with raw text, and those that make blocks of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,7 +249,7 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
     """
     model = model or fit(labelled_pages())
     keep = pages.drop("main_text", "main_chars")
-    schema = keep.schema.add("main_text", "string").add("main_chars", "long")
+    schema = T.StructType(list(keep.schema.fields)).add("main_text", "string").add("main_chars", "long")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that count as symbols, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
@@ -175,7 +176,7 @@ def quality(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     Texts of any length are measured whole. Repeated rows get equal figures; an empty table stays empty.
     """
     keep = docs.drop(*(name for name, _ in METRICS))
-    schema = keep.schema
+    schema = T.StructType(list(keep.schema.fields))
     for name, kind in METRICS:
         schema = schema.add(name, kind)
 

@@ -305,7 +305,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", kind: str = "bp
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """rows with the text of their ids (replacing a column of that name); null ids give a null text."""
     keep = rows.drop(text)
-    schema = keep.schema.add(text, "string")
+    schema = T.StructType([*keep.schema.fields, T.StructField(text, T.StringType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(vocabulary)
