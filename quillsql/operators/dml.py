@@ -220,8 +220,8 @@ def append(engine, table: Table, rows: DataFrame) -> None:
 
 def _rewrite(engine, table: Table, ids: DataFrame, plus: DataFrame | None) -> None:
     """Take the rows with these ids out, and add others; only parts that hold such rows are written anew."""
-    touched = set()
-    if table.parts:
+    touched = set(table.parts)
+    if len(table.parts) > 1:
         marked = engine.frame(table).select(ROWID, F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("_part"))
         hit = {r["_part"].rstrip("/").rpartition("/")[2] for r in marked.join(ids, ROWID, "left_semi").select("_part").distinct().collect()}
         touched = {p for p in table.parts if p.rpartition("/")[2] in hit}
@@ -239,9 +239,9 @@ def _rewrite(engine, table: Table, ids: DataFrame, plus: DataFrame | None) -> No
     table.parts = rest
 
 
-def remove(engine, table: Table, rows: DataFrame) -> None:
-    """Delete rows, with what hangs on them by foreign keys."""
-    gone = engine.cut(_plain(table, rows))
+def remove(engine, table: Table, rows: DataFrame, held: bool = False) -> None:
+    """Delete rows, with what hangs on them by foreign keys. held: the rows have been written already."""
+    gone = rows if held else engine.cut(_plain(table, rows))
     if gone.isEmpty():
         return
     _rewrite(engine, table, gone.select(ROWID), None)
@@ -251,7 +251,7 @@ def remove(engine, table: Table, rows: DataFrame) -> None:
 def replace_rows(engine, table: Table, changed: DataFrame, old: DataFrame, conflict: str = "ABORT") -> DataFrame:
     """Put changed rows in place of those with their ids; the rows really changed."""
     check_rows(engine, table, changed)
-    before = engine.cut(_plain(table, old.join(changed.select(ROWID), ROWID, "left_semi")))
+    before = _plain(table, old.join(changed.select(ROWID), ROWID, "left_semi"))  # parts never change, so this stays what it is
     others = engine.frame(table).join(changed.select(ROWID), ROWID, "left_anti")
     for key, where in all_keys(engine, table):
         if conflict == "IGNORE":
@@ -473,7 +473,7 @@ def insert(engine, s: t.Insert, params: dict) -> DataFrame | None:
         return _instead(engine, s, params)
     table = engine.state.table(s.table)
     new = _source(engine, table, s, params)
-    new = engine.cut(with_generated(engine, table, _with_rowids(engine, table, new)))
+    new = with_generated(engine, table, _with_rowids(engine, table, new))
     keys = all_keys(engine, table)
     names = [c.name for c in table.columns]
     fire(engine, _triggers(engine, s.table, "BEFORE", "INSERT"), names, _sides(table, None, new), params)
@@ -620,7 +620,7 @@ def update(engine, s: t.Update, params: dict) -> DataFrame | None:
         sets[column.name] = e
     items = [t.Item(t.Col("rowid", table.name), "_hit")] + [t.Item(e, f"_v{i}") for i, e in enumerate(sets.values())]
     sql, columns = engine.lowering(params).query(t.Query(t.Select(tuple(items), t.TableRef(table.name), where=s.where)))
-    values = engine.cut(engine.spark.sql(sql).toDF(*[n for n, *_ in columns]))
+    values = engine.spark.sql(sql).toDF(*[n for n, *_ in columns])
     old = engine.frame(table)
     place = {n: i for i, n in enumerate(sets)}
     joined = old.join(values, F.col(ROWID) == F.col("_hit"))
@@ -632,7 +632,7 @@ def update(engine, s: t.Update, params: dict) -> DataFrame | None:
         ],
     )
     changed = engine.cut(with_generated(engine, table, changed))
-    before = engine.cut(_plain(table, old.join(changed.select(ROWID), ROWID, "left_semi")))
+    before = _plain(table, old.join(changed.select(ROWID), ROWID, "left_semi"))
     names = [c.name for c in table.columns]
     touched = {n.lower() for n in sets}
     fire(engine, _triggers(engine, s.table, "BEFORE", "UPDATE", touched), names, _sides(table, before, changed), params)
@@ -658,7 +658,7 @@ def delete(engine, s: t.Delete, params: dict) -> DataFrame | None:
     if s.where is None and not engine.foreign_keys:
         table.parts = ()
     else:
-        remove(engine, table, gone)
+        remove(engine, table, gone, True)
     engine.changes = count
     fire(engine, _triggers(engine, s.table, "AFTER", "DELETE"), names, _sides(table, gone, None), params)
     return returned(engine, table, gone, s.returning, params)
