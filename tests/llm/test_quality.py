@@ -35,6 +35,12 @@ def test_labelled_good_documents_stay(spark, sf_dir):
     assert rows and all(r.kept for r in rows)
 
 
+def test_most_labelled_junk_past_the_base_goes(spark, sf_dir):
+    junk = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").collect()}
+    rows = [r for r in queries.op6_quality_rules(spark, sf_dir).collect() if r.doc_id in junk and not r.base_failed]
+    assert rows and 3 * sum(not r.kept for r in rows) > 2 * len(rows)
+
+
 TEXTS = [None, "", " \n\t", "a b c a b c", "x\ty\r\nz\x0b\x0cw", "line\nline\n\nline ", "日本語 の テキスト", "a  b   c", "▁mark here", "#$ % & | < >", "\x85\xa0 nbsp\u2003word", "w " * 60, "The cat sat on the mat. " * 3]
 
 
