@@ -49,3 +49,16 @@ def test_library_does_not_import_the_training_data_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"\bllm\b", path.read_text()), path
+
+
+WHOLE = {
+    "json_extract_many": "events", "json_arrow_ops": "events", "json_valid_type": "events", "json_mutators": "events", "json_patch": "events",
+    "json_each_lateral": "events", "arith_int_div_mod": "lineitem", "win_count_distinct": "lineitem",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_query_reads_the_whole_table(spark, oracle, sf_dir, name):
+    n = oracle.sql(f"SELECT COUNT(*) FROM {WHOLE[name]}").fetchall()[0][0]
+    assert workload.queries()[name](spark, sf_dir).count() == n
+    assert oracle.sql(f"SELECT COUNT(*) FROM ({workload.oracle_sql()[name]})").fetchall()[0][0] == n
