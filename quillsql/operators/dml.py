@@ -522,8 +522,68 @@ def _replaced(engine, table: Table, new: DataFrame, keys: list) -> DataFrame:
     return new
 
 
+def _excluded_only(node) -> bool:
+    """Whether an expression is plain arithmetic of values and of the new row's columns."""
+    plain = []
+    rebuilt(node, lambda n: plain.append(isinstance(n, (t.Literal, t.Param, t.Unary, t.Binary, t.Cast)) or isinstance(n, t.Col) and (n.table or "").lower() == "excluded") or n)
+    return all(plain)
+
+
+def _folds(engine, table: Table, s: t.Insert, keys: list, params: dict) -> dict | None:
+    """{column: (whether it is added up, expression of the new row)} if DO UPDATE of any number of rows is one step; None if not.
+
+    That holds for c = c + whole number and for values of the new row alone, where nothing looks at the states between.
+    """
+    u = s.upserts[0]
+    watched = [x for x in engine.state.triggers.values() if x.table.lower() == s.table.lower()]
+    if len(s.upserts) > 1 or len(keys) > 1 or keys[0][1] is not None or u.where is not None or watched or table.checks or any(c.generated is not None for c in table.columns):
+        return None
+    bound = {c.lower() for c in keys[0][0]} | {c.lower() for f in table.foreign for c in f.columns}
+    scope = Scope([_excluded(table)])
+    found = {}
+    for n, e in u.sets or ():
+        c = table.column(n)
+        if c.name.lower() in bound or c.not_null:
+            return None
+        sides = [(e.left, e.right), (e.right, e.left)] if isinstance(e, t.Binary) and e.op == "+" else []
+        own = [b for a, b in sides if isinstance(a, t.Col) and a.name.lower() == c.name.lower() and (a.table or table.name).lower() == table.name.lower() and _excluded_only(b)]
+        if not own and not _excluded_only(e):
+            return None
+        value = engine.lowering(params).value(own[0] if own else e, scope)
+        if own and (value.kind != "int" or ty.kind_of_declared(c.kind) != "int"):
+            return None
+        found[c.name] = (bool(own), value)
+    return found
+
+
+def _excluded(table: Table) -> Source:
+    return Source("excluded", [Name(c.name, ty.kind_of_declared(c.kind), f"`_x_{i}`", c.collation, True) for i, c in enumerate(table.columns)])
+
+
+def _fold(engine, table: Table, rest: DataFrame, key: tuple, folds: dict) -> DataFrame:
+    """Update the table by rows whose keys it has, all rows of a key at once; the changed rows."""
+    kinds = {c.name: ty.kind_of_declared(c.kind) for c in table.columns}
+    on = [f"_a{i}" for i in range(len(key))]
+    new = rest.select(SEQ, *on, *[F.col(ty.ident(c.name)).alias(f"_x_{i}") for i, c in enumerate(table.columns)])
+    new = new.select(SEQ, *on, *[F.expr(stored(e, kinds[n])).alias(f"_s_{i}") for i, (n, (_, e)) in enumerate(folds.items())])
+    one = F.count(F.lit(1))
+    # a missing summand makes the sum missing for good
+    steps = [F.when(F.count(f"_s_{i}") == one, F.sum(f"_s_{i}")) if added else F.max_by(f"_s_{i}", SEQ) for i, (added, _) in enumerate(folds.values())]
+    totals = new.groupBy(*on).agg(one.alias("_n"), *[x.alias(f"_s_{i}") for i, x in enumerate(steps)])
+    base = engine.frame(table)
+    test = reduce(lambda x, y: x & y, [F.col(f"_a{i}") == F.col(f"_b{i}") for i in range(len(key))])
+    hit = _keyed(engine, table, base, key, None, "_b").join(totals, test)
+    value = {n: F.col(ty.ident(n)) + F.col(f"_s_{i}") if added else F.col(f"_s_{i}") for i, (n, (added, _)) in enumerate(folds.items())}
+    changed = engine.cut(hit.select(F.col(ROWID), *[value.get(c.name, F.col(ty.ident(c.name))).alias(c.name) for c in table.columns]))
+    replace_rows(engine, table, changed, base)
+    return changed
+
+
 def _upsert(engine, table: Table, s: t.Insert, new: DataFrame, params: dict) -> DataFrame | None:
-    """Rows that share a key are folded in order: round r takes the r-th of each key."""
+    """Rows that share a key are folded in order: the first of each key, then all others in one step if _folds() allows.
+
+    Else round r takes the r-th of each key.
+    """
     keys = all_keys(engine, table)
     check_rows(engine, table, new)
     every = {k: w for k, w in keys}
@@ -534,14 +594,27 @@ def _upsert(engine, table: Table, s: t.Insert, new: DataFrame, params: dict) ->
         if not match:
             raise SqlError("ON CONFLICT clause does not match any PRIMARY KEY or UNIQUE constraint")
         clauses.append((u, match))
+    folds = _folds(engine, table, s, keys, params)
+    rest = None
+    if folds is not None:
+        key = clauses[0][1][0]
+        on = [f"_a{i}" for i in range(len(key))]
+        new = engine.cut(new)
+        keyed = _keyed(engine, table, new, key, None, "_a")
+        firsts = keyed.groupBy(*on).agg(F.min(SEQ).alias(SEQ)).select(SEQ)
+        rest = engine.cut(keyed.join(firsts, SEQ, "left_anti"))
+        new = new.join(rest.select(SEQ), SEQ, "left_anti")
     ranks = None
-    for _, match in clauses:
+    for _, match in clauses if folds is None else ():
         for key in match:
             keyed = _keyed(engine, table, new, key, every[key], "_k")
             rank = Window.partitionBy(*[f"_k{i}" for i in range(len(key))]).orderBy(SEQ)
             own = keyed.select(SEQ, F.row_number().over(rank).alias("_n"))
             ranks = own if ranks is None else ranks.unionAll(own)
-    held = engine.cut(new.join(ranks.groupBy(SEQ).agg(F.max("_n").alias("_round")), SEQ, "left").fillna(1, ["_round"]))
+    if ranks is None:
+        held = engine.cut(new.withColumn("_round", F.lit(1)))
+    else:
+        held = engine.cut(new.join(ranks.groupBy(SEQ).agg(F.max("_n").alias("_round")), SEQ, "left").fillna(1, ["_round"]))
     rounds = held.agg(F.max("_round")).first()[0] or 0
     touched, count = None, 0
     names = [c.name for c in table.columns]
@@ -561,7 +634,7 @@ def _upsert(engine, table: Table, s: t.Insert, new: DataFrame, params: dict) ->
                 if u.sets is None:
                     continue
                 scope = engine.scope(table)
-                scope.sources.append(Source("excluded", [Name(c.name, ty.kind_of_declared(c.kind), f"`_x_{i}`", c.collation, True) for i, c in enumerate(table.columns)]))
+                scope.sources.append(_excluded(table))
                 if u.where is not None:
                     hit = hit.where(engine.lowering(params).truth(u.where, scope))
                 sets = {table.column(n).name: engine.lowering(params).value(e, scope) for n, e in u.sets}
@@ -588,6 +661,10 @@ def _upsert(engine, table: Table, s: t.Insert, new: DataFrame, params: dict) ->
             engine.last_rowid = row["last"]
             fire(engine, _triggers(engine, s.table, "AFTER", "INSERT"), names, _sides(table, None, rows), params)
             touched = rows.select(ROWID) if touched is None else touched.unionAll(rows.select(ROWID))
+    if folds and (more := rest.count()):
+        ids = _fold(engine, table, rest, clauses[0][1][0], folds).select(ROWID)
+        count += more
+        touched = ids if touched is None else touched.unionAll(ids)
     engine.changes = count
     if not s.returning:
         return None

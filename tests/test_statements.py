@@ -156,3 +156,34 @@ def test_client(spark):
     connection.exec("delete from t")
     connection.rollback()
     assert connection.query("select count(*) from t").fetch_column() == 2
+
+
+def test_upsert_of_many_rows_of_a_key_is_one_step(spark, monkeypatch):
+    from quillsql.operators import dml
+
+    rows = [(f"'k{i % 3}'" if i % 50 else "NULL", "NULL" if i == 151 else i, i % 7) for i in range(400)]
+    values = ",".join(f"({k},{n},{v})" for k, n, v in rows)
+    script = [
+        "create table c(k text primary key, n int, last int)", "insert into c values('k1', 5, 5)",
+        f"insert into c values{values} on conflict(k) do update set n = excluded.n * 2 + n, last = excluded.last - 1",
+        f"insert into c values{values} on conflict(k) do nothing",
+    ]
+    calls, real = [], dml.replace_rows
+    monkeypatch.setattr(dml, "replace_rows", lambda *a, **k: calls.append(1) or real(*a, **k))
+    engine, base = Engine(spark), sqlite3.connect(":memory:")
+    for s in script:
+        engine.sql(s)
+        base.execute(s)
+    query = "select k, n, last from c"
+    assert sorted(map(tuple, engine.sql(query).collect()), key=repr) == sorted(base.execute(query).fetchall(), key=repr)
+    assert len(calls) <= 2
+    assert engine.changes == base.execute("select changes()").fetchone()[0]
+
+
+def test_upsert_whose_steps_differ_still_folds_in_order(spark):
+    script = ["create table c(k int primary key, n int)", "insert into c values(1,1),(1,2),(1,5),(2,3) on conflict(k) do update set n = n * excluded.n - 1", "insert into c values(1,1),(1,2),(2,9) on conflict(k) do update set n = n + excluded.n where n < 15"]
+    engine, base = Engine(spark), sqlite3.connect(":memory:")
+    for s in script:
+        engine.sql(s)
+        base.execute(s)
+    assert sorted(map(tuple, engine.sql("select * from c").collect())) == sorted(base.execute("select * from c").fetchall())
