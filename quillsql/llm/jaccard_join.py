@@ -1,9 +1,10 @@
 """Similarity join of documents on word shingles by the chosen path.
 
-Equal shingle sets are one class at once. Each run splits the classes on minhash tokens that a coin chose
-for the node (each with probability 1 / (similarity x tokens), so a pair at the threshold is expected in
-one child), node by node until a node is small. Small nodes are compared all with all on their signatures;
-runs repeat until a pair at the threshold is missed with less than 1 - recall. Nodes that stay large are
+Equal shingle sets are one class at once. Root nodes split the classes on distinct minhash tokens; large
+nodes are split again on tokens that a coin chose for the node (each with probability 1 / (similarity x
+tokens), so a pair at the threshold is expected in one child), until a node is small. Small nodes are
+compared all with all on their signatures. There are as many roots as a pair at the threshold needs to be
+missed with less than 1 - recall even if it is split as often as depth allows. Nodes that stay large are
 one candidate group as they are. Candidate groups are then compared all with all on whole shingle sets,
 in square blocks, so the links reported are exact.
 """
@@ -85,10 +86,33 @@ def described(docs: DataFrame, id_col: str, text_col: str, tokens: int, words: i
     return rows.mapInArrow(work, "doc_id long, key binary, sig array<int>")
 
 
-def _roots(runs: int, tokens: int, chance: float) -> list[tuple[int, int]]:
-    """(run, token) pairs that the coins of the runs' root nodes chose."""
-    source = random.Random(4_711)
-    return [(r, j) for r in range(runs) for j in range(tokens) if source.random() < chance]
+def _missed(similarity: float, tokens: int, near: int, roots: int, splits: int) -> float:
+    """Chance that a pair at the similarity is told apart if every node it meets is split until the last of the splits.
+
+    A pair shares k of the tokens; each split keeps it if a chosen token is one of them. Roots are dealt evenly
+    over the tokens. A pair that shares fewer than near tokens is not found in a small node.
+    """
+    chance = 1 / (similarity * tokens)
+    rounds, rest = divmod(roots, tokens)
+    total = 0.0
+    for k in range(tokens + 1):
+        stays = 1.0
+        for _ in range(splits - 1):
+            stays = 1 - (1 - chance * stays) ** k
+        lost = (1 - stays) ** (rounds * k)
+        lost *= sum(math.comb(k, h) * math.comb(tokens - k, rest - h) * (1 - stays) ** h for h in range(min(k, rest) + 1)) / math.comb(tokens, rest)
+        total += math.comb(tokens, k) * similarity**k * (1 - similarity) ** (tokens - k) * (1.0 if k < near else lost)
+    return total
+
+
+def _roots(similarity: float, recall: float, tokens: int, near: int, splits: int) -> list[tuple[int, int]]:
+    """(round, token) pairs of the root nodes: as few as keep recall through all splits, no token twice before all are used."""
+    least = _missed(similarity, tokens, near, 64 * tokens, splits)
+    if least >= 1 - recall:
+        raise ValueError(f"{tokens} tokens miss {least:.4f} of the pairs at {similarity}, however often they are split")
+    count = next(n for n in range(1, 64 * tokens + 1) if _missed(similarity, tokens, near, n, splits) <= 1 - recall)
+    order = random.Random(4_711).sample(range(tokens), tokens)
+    return [(i // tokens, order[i % tokens]) for i in range(count)]
 
 
 def _children(node: Column, sig: Column, tokens: int, chance: float) -> Column:
@@ -171,12 +195,11 @@ def _leaf_edges(least: float, tokens: int):
 def candidate_edges(classes: DataFrame, similarity: float, recall: float, tokens: int, node_limit: int, depth: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair of classes (key, sig) at the similarity, but for 1 - recall."""
     chance = 1 / (similarity * tokens)
-    kept = 1 - math.exp(-(1 - math.exp(-1)))  # a pair at the threshold that is split twice
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - kept))
     spread = math.sqrt(similarity * (1 - similarity) / tokens)
-    leaf = _leaf_edges(similarity - 3.5 * spread, tokens)
+    least = similarity - 3.5 * spread
+    leaf = _leaf_edges(least, tokens)
     sig = F.col("sig")
-    first = F.array(*[F.xxhash64(F.lit(r), F.lit(j), F.element_at(sig, j + 1)) for r, j in _roots(runs, tokens, chance)])
+    first = F.array(*[F.xxhash64(F.lit(r), F.lit(j), F.element_at(sig, j + 1)) for r, j in _roots(similarity, recall, tokens, math.ceil(least * tokens), depth)])
     rows = classes.select("key", F.explode(first).alias("node"))
     edges = None
     cuts = []
