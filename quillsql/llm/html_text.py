@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,10 @@ BLOCK = frozenset(
 )
 SCOPES = BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "dt", "dd"}
 KEPT = frozenset("html body main article".split())
+#: Name parts that say how a page is laid out or what state it is in, and so nothing of the element they stand on.
+MODIFIERS = frozenset("has no with without open closed enabled disabled".split())
+NEUTRAL = frozenset({"site"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = frozenset("br td th img option".split())
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -76,6 +81,12 @@ class Element:
     weight: float = 0.0
     off: bool = False
     p_at: int = -1
+    parent: Element | None = None
+    negative: bool = False  # the names of an article or main, whose weight leaves them out
+
+    @property
+    def content(self) -> bool:
+        return self.tag in SCOPES and self.weight > 0.7 and not self.negative
 
 
 @dataclass
@@ -86,12 +97,19 @@ class Model:
     word: float = 1.0
 
     def element(self, tag: str, attributes: str) -> float:
-        """Of one element. In a name of several words (comment-body) the least counts; names of one element add up."""
-        weight = self.weights.get(tag, 0.0)
-        if "=" in attributes and tag not in KEPT:
+        """Of one element: its tag's and its names' weights."""
+        return self.weights.get(tag, 0.0) + (0.0 if tag in KEPT else self.names(attributes))
+
+    def names(self, attributes: str) -> float:
+        """In a name of several words (comment-body) the least counts; names of one element add up; has-sidebar is no name of a part."""
+        weight = 0.0
+        if "=" in attributes:
             for m in NAMES.finditer(attributes):
                 for name in (m[1] or m[2] or m[3] or "").split():
-                    known = [self.weights[k] for w in PARTS.findall(name) if (k := f".{w.lower()}") in self.weights]
+                    parts = [w.lower() for w in PARTS.findall(name)]
+                    if not MODIFIERS.isdisjoint(parts):
+                        continue
+                    known = [self.weights[k] for w in parts if w not in NEUTRAL and (k := f".{w}") in self.weights]
                     weight += min(known, default=0.0)
         return weight
 
@@ -153,8 +171,7 @@ def scan(page: str, model: Model) -> tuple[list[tuple], list[Element]]:
     for kind, what, attributes in tags(page):
         top = stack[-1]
         if kind == "text":
-            n = 0 if top.off else len(what.split())
-            tokens.append(("text", what, model.word * n, top))
+            tokens.append(("text", what, model.word * len(what.split()), top))
         elif kind == "close":
             if opened[what]:
                 depth = len(stack) - 1
@@ -175,13 +192,45 @@ def scan(page: str, model: Model) -> tuple[list[tuple], list[Element]]:
             top, weight = stack[-1], model.element(what, attributes)
             tokens.append(("tag", what, max(-8.0, min(-0.05, weight)), top))
             if what not in VOID and not attributes.endswith("/"):
-                own = Element(what, len(tokens), weight=weight, off=top.off or weight < -1.0)
+                own = Element(what, len(tokens), weight=weight, parent=top, negative=what in KEPT and model.names(attributes) < -1.0)
                 own.p_at = len(stack) if what == "p" else -1 if what in SCOPES else top.p_at
                 stack.append(own)
                 opened[what] += 1
                 elements.append(own)
     pop_to(1)
-    return tokens, elements
+    switch_off(tokens, elements)
+    return [(kind, what, 0.0 if kind == "text" and e.off else score, e) for kind, what, score, e in tokens], elements
+
+
+def switch_off(tokens: list[tuple], elements: list[Element]) -> None:
+    """Mark the elements whose words don't count: those of negative weight and what stands in them.
+
+    An article's header with a heading stays. If a content element in an element that is off holds more words
+    than all content elements that are on, the page's boxes are misnamed: content elements are then on again.
+    Elements off by weight that hold most words of a page without content elements are on as well.
+    """
+    words = list(accumulate((len(what.split()) if kind == "text" else 0 for kind, what, _, _ in tokens), initial=0))
+    headings = list(accumulate((kind == "tag" and what in HEADINGS for kind, what, _, _ in tokens), initial=0))
+    in_article: dict[int, bool] = {}
+
+    def mark(again: bool, wide: bool) -> None:
+        for e in elements:
+            up = e.parent
+            in_article[id(e)] = e.tag == "article" or in_article.get(id(up), False)
+            titled = e.tag in ("header", "hgroup") and in_article[id(e)] and headings[e.end] > headings[e.start]
+            most = wide and e.tag in ("div", "section") and 2 * (words[e.end] - words[e.start]) > words[-1]
+            e.off = not (again and e.content) and (up.off or e.weight < -1.0 and not titled and not most)
+
+    mark(False, False)
+    content = [e for e in elements if e.content]
+    inside: dict[int, bool] = {}
+    for e in elements:
+        inside[id(e)] = e.content and not e.off or inside.get(id(e.parent), False)
+    shown = sum(len(what.split()) for kind, what, _, e in tokens if kind == "text" and not e.off and inside.get(id(e), False))
+    if any(e.off and words[e.end] - words[e.start] > shown for e in content):
+        mark(True, False)
+    elif not content:
+        mark(False, True)
 
 
 def best_region(scores: Iterable[float]) -> tuple[int, int]:

@@ -57,3 +57,22 @@ def test_odd_rows(spark):
     got = html_text.extract(df, MODEL).collect()
     assert sorted((r.page_id, r.main_text, r.main_chars) for r in got) == [(1, "", 0), (2, "a b", 3), (2, "a b", 3)]
     assert html_text.extract(df.limit(0), MODEL).count() == 0
+
+
+ARTICLE = "<article><h1>The title</h1><p>Long main text of the article with enough words to count.</p></article>"
+TEXT = "The title\nLong main text of the article with enough words to count."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div id="page" class="site">{ARTICLE}</div>', TEXT), (f'<div class="wrap has-sidebar">{ARTICLE}</div>', TEXT), (f'<div class="comments-open">{ARTICLE}</div>', TEXT),
+        (f'<div class="share thread">{ARTICLE}<aside>see also</aside></div>', TEXT), (f'<div class="body"><div class="sidebar-left">{ARTICLE}</div></div>', TEXT),
+        ('<div class="widget"><p>Plain page of words that has no content element.</p></div><div class="menu">a b</div>', "Plain page of words that has no content element."),
+        ('<article><header class="entry-header"><h1>Title words</h1></header><p>Long main text here it is.</p></article>', "Title words\nLong main text here it is."),
+        (f'{ARTICLE}<ol class="commentlist"><li><article class="comment">short answer</article></li></ol>', TEXT),
+        (f'<main>{ARTICLE}<div class="related"><article>teaser</article></div></main>', TEXT),
+    ],
+)
+def test_misnamed_boxes_keep_the_article(page, text):
+    assert html_text.main_text(page, MODEL) == text
