@@ -415,6 +415,25 @@ def _source(engine, table: Table, s: t.Insert, params: dict) -> DataFrame:
     return numbered(engine, frame.select(*out))
 
 
+def _follow_largest(new: DataFrame, top: int, rows: int = 100_000) -> DataFrame:
+    """new with _given: one more than the largest of top and the ids before it in order of SEQ, _w where that isn't null.
+
+    With c missing ids up to a row, that is c more than the largest of top and of w less the missing ones before w.
+    Running figures are taken within stretches of SEQ, and carried over by one row for each stretch.
+    """
+    missing = F.col("_w").isNull().cast("long")
+    upto = Window.partitionBy("_b").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("_b", F.floor(F.col(SEQ) / rows)).withColumn("_c", F.sum(missing).over(upto))
+    ends = new.groupBy("_b").agg(F.max("_c").alias("_m"), F.max(F.col("_w") - F.col("_c")).alias("_g"))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    ends = ends.select("_b", "_before", F.greatest(F.lit(top), F.max(F.col("_g") - F.col("_before")).over(before)).alias("_from"))
+    own = F.max(F.col("_w") - F.col("_c")).over(upto)
+    new = new.withColumn("_own", own).join(ends, "_b")
+    given = F.greatest("_from", F.col("_own") - F.col("_before")) + F.col("_before") + F.col("_c")
+    return new.withColumn("_given", given).drop("_b", "_c", "_own", "_before", "_from")
+
+
 def _with_rowids(engine, table: Table, new: DataFrame) -> DataFrame:
     alias = table.rowid_alias
     wanted = F.col(ty.ident(alias)) if alias else F.col(ROWID)
@@ -429,21 +448,14 @@ def _with_rowids(engine, table: Table, new: DataFrame) -> DataFrame:
         ids, top = wanted, max(table.top, counts["top"])
     else:
         # given ids among missing ones: each missing one follows the largest so far
-        if counts["n"] > 100_000:
-            raise SqlError("more than 100000 rows of which only some give the row id; give all or none")
-        last, found = table.top, {}
-        for r in new.select(SEQ, wanted.alias("w")).orderBy(SEQ).collect():
-            last = max(last, r["w"]) if r["w"] is not None else last + 1
-            if r["w"] is None:
-                found[r[SEQ]] = last
-        pairs = engine.spark.createDataFrame(list(found.items()), f"{SEQ} long, _given long")
-        new = new.join(F.broadcast(pairs), SEQ, "left")
-        ids, top = F.coalesce(wanted, F.col("_given")), last
+        new = engine.cut(_follow_largest(new.withColumn("_w", wanted), table.top))
+        ids = F.coalesce(F.col("_w"), F.col("_given"))
+        top = new.agg(F.max(ids)).first()[0]
     new = new.withColumn(ROWID, ids)
     if alias:
         new = new.withColumn(alias, F.col(ROWID))
     table.top = max(table.top, top or 0)
-    return new.drop("_given")
+    return new.drop("_given", "_w")
 
 
 def _kept_greedily(engine, table: Table, new: DataFrame, keys: list) -> DataFrame:

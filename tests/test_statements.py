@@ -187,3 +187,16 @@ def test_upsert_whose_steps_differ_still_folds_in_order(spark):
         engine.sql(s)
         base.execute(s)
     assert sorted(map(tuple, engine.sql("select * from c").collect())) == sorted(base.execute("select * from c").fetchall())
+
+
+def test_missing_row_ids_follow_the_largest_at_any_size(spark):
+    """More rows than one driver's loop took, over several stretches."""
+    engine, base = Engine(spark), sqlite3.connect(":memory:")
+    base.execute("create table t(id integer primary key, v int)")
+    engine.sql("create table t(id integer primary key, v int)")
+    rows = [(None if v % 3 else 100 * v + (v % 5) * 410, v) for v in range(250_000)]
+    base.executemany("insert into t values(?, ?)", rows)
+    engine.register("many", spark.range(0, 250_000, 1, 4).toDF("v"))
+    engine.sql("insert into t select case when v % 3 then null else 100 * v + (v % 5) * 410 end, v from many order by v")
+    query = "select count(*), sum(id), max(id), sum(id * (v % 97)) from t"
+    assert tuple(engine.sql(query).first()) == base.execute(query).fetchone()
