@@ -6,7 +6,7 @@ import pytest
 from quillsql.llm import line_dedup, queries
 
 
-def brute(rows, min_words=8):
+def brute(rows, min_words=5):
     """{doc_id: kept text}, by sets of words with one left out."""
     seen, order = {}, []
     words = lambda line: tuple(x for x in re.split(r"[ \t\x0b\f\r]+", line) if x)
@@ -23,7 +23,7 @@ def brute(rows, min_words=8):
                 gaps[w[:i], w[i + 1 :]].append(w)
     for (a, b), members in gaps.items():
         gone.update(members[1:])
-        if len(a + b) >= min_words and a + b in seen:
+        if a + b in seen:
             gone.update(max((w, a + b), key=seen.get) for w in members)
     out = {}
     for doc_id, text in rows:
@@ -68,3 +68,55 @@ def test_odd_rows(spark, docs):
     assert got == [(-1, "x y"), (1, ""), (2, ""), (3, " \n\n"), (5, "z"), (6, ""), (6, "")]
     assert {r.h1 for r in rows} == {"clash"}
     assert line_dedup.dedup_lines(docs([])).count() == 0
+
+
+def test_threshold(spark, docs):
+    """One edit of five words is a similarity of 0.8; of four words it is less."""
+    rows = [(1, "a b c d e\na b c d"), (2, "a b X d e"), (3, "a b X d"), (4, "a b c d Y Z"), (5, "p q r s"), (6, "p q X s")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    # "a b c d" and "a b X d" are lines of five words less one; the last two have four words both
+    assert got == brute(rows) == {1: "a b c d e", 2: "", 3: "", 4: "a b c d Y Z", 5: "p q r s", 6: "p q X s"}
+
+
+def test_clashing_ids(spark, docs):
+    """Null ids and repeated ids with different texts neither crash nor share their lines."""
+    near = LONG.replace("five", "FIVE")
+    rows = [(None, f"{LONG}\nleft one"), (None, f"alone\n{LONG}\nright one"), (7, f"{near}\nseven"), (7, "other text"), (7, "first\nsecond\nthird"), (8, f"{LONG} eleven\nsecond")]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs(rows)).collect())
+    assert got in (
+        sorted([(0, f"{LONG}\nleft one"), (0, "alone\nright one"), (7, "seven"), (7, "other text"), (7, "first\nsecond\nthird"), (8, "")]),
+        sorted([(0, "left one"), (0, f"alone\n{LONG}\nright one"), (7, "seven"), (7, "other text"), (7, "first\nsecond\nthird"), (8, "")]),
+    )
+
+
+def test_extreme_ids(spark, docs):
+    low, high = -(1 << 63), (1 << 63) - 1
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs([(high, LONG), (low, LONG), (0, f"{LONG} x\nown")])).collect()}
+    assert got == {low: LONG, 0: "own", high: ""}
+
+
+def test_random_lines(spark, docs):
+    import random
+
+    coin = random.Random(5)
+    base = [[coin.choice("abcdef") for _ in range(coin.randint(1, 9))] for _ in range(60)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for w in coin.sample(base, 4):
+            w = list(w)
+            at = coin.randrange(len(w))
+            lines.append(" ".join([w, w[:at] + w[at + 1 :], [*w[:at], "z", *w[at:]], [*w[:at], coin.choice("xy"), *w[at + 1 :]]][coin.randrange(4)]))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_very_long_lines(spark, docs):
+    """A line of 100,000 words and one edit of it; hashes are chained by stretches of 256."""
+    words = [f"w{i}" for i in range(100_000)]
+    edited = words[:70_000] + ["new"] + words[70_001:]
+    shorter = words[:257] + words[258:]
+    rows = [(1, " ".join(words)), (2, " ".join(edited) + "\nown"), (3, " ".join(shorter)), (4, " ".join(words[:600])), (5, " ".join(words[1:600]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "own", 3: "", 4: rows[3][1], 5: ""}
