@@ -15,6 +15,7 @@ from quillsql.engine import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 PARAMS = {"segment": "BUILDING", "floor": 5000.0}
+POSITIONAL = [40, "F", "F"]
 
 QUERIES: dict[str, str | tuple[str, str]] = {
     # scans and filters
@@ -242,6 +243,88 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "catalog_table_info": ("CREATE TABLE t(a INTEGER PRIMARY KEY, b TEXT NOT NULL DEFAULT 'x', c REAL); SELECT name, type, \"notnull\" AS nn, dflt_value AS d, pk FROM pragma_table_info('t')", "SELECT * FROM (VALUES ('a', 'INTEGER', 0::BIGINT, NULL, 1::BIGINT), ('b', 'TEXT', 1, '''x''', 0), ('c', 'REAL', 0, NULL, 0)) v(name, type, nn, d, pk)"),
     "catalog_master": ("CREATE TABLE t(a INT); CREATE INDEX i ON t(a); CREATE VIEW v AS SELECT a FROM t; SELECT type, name, tbl_name FROM sqlite_master", "SELECT * FROM (VALUES ('table', 't', 't'), ('index', 'i', 't'), ('view', 'v', 'v')) x(type, name, tbl_name)"),
     "date_bucket_month": ("SELECT DATE(o_orderdate) AS d, COUNT(*) AS n FROM orders GROUP BY DATE(o_orderdate)", "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, COUNT(*) AS n FROM orders GROUP BY 1"),
+    # constraints, triggers and definitions on tables of the engine's own
+    "rowid_scan": ("CREATE TABLE t(k INTEGER PRIMARY KEY, x TEXT); INSERT INTO t SELECT o_orderkey, o_orderstatus FROM orders; SELECT rowid AS r FROM t", "SELECT o_orderkey AS r FROM orders"),
+    "fk_restrict": (
+        "PRAGMA foreign_keys = ON; CREATE TABLE p(id INTEGER PRIMARY KEY); CREATE TABLE c(id INTEGER PRIMARY KEY, pid INT REFERENCES p(id) ON DELETE RESTRICT DEFERRABLE INITIALLY DEFERRED); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey < 3; DELETE FROM p WHERE id > 2; SELECT id FROM p",
+        "SELECT CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_regionkey <= 2",
+    ),
+    "fk_self_cascade": (
+        "PRAGMA foreign_keys = ON; CREATE TABLE node(id INTEGER PRIMARY KEY, parent INT REFERENCES node(id) ON DELETE CASCADE); INSERT INTO node VALUES (1, NULL), (2, 1), (3, 2), (4, NULL), (5, 4); DELETE FROM node WHERE id = 2; SELECT id, parent FROM node",
+        "SELECT * FROM (VALUES (1::BIGINT, NULL::BIGINT), (4, NULL), (5, 4)) v(id, parent)",
+    ),
+    "fk_set_default": (
+        "PRAGMA foreign_keys = ON; CREATE TABLE p(id INTEGER PRIMARY KEY); CREATE TABLE c(id INTEGER PRIMARY KEY, pid INT DEFAULT 0 REFERENCES p(id) ON DELETE SET DEFAULT); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT c_custkey, c_nationkey % 5 FROM customer; DELETE FROM p WHERE id = 3; SELECT id, pid FROM c",
+        "SELECT c_custkey AS id, CAST(CASE WHEN c_nationkey % 5 = 3 THEN 0 ELSE c_nationkey % 5 END AS BIGINT) AS pid FROM customer",
+    ),
+    "fk_composite": (
+        "PRAGMA foreign_keys = ON; CREATE TABLE p(a INT, b INT, PRIMARY KEY(a, b)); CREATE TABLE c(id INTEGER PRIMARY KEY, x INT, y INT, FOREIGN KEY(x, y) REFERENCES p(a, b) ON DELETE CASCADE ON UPDATE CASCADE); INSERT INTO p SELECT n_nationkey, n_regionkey FROM nation; INSERT INTO c SELECT n_nationkey + 100, n_nationkey, n_regionkey FROM nation; INSERT INTO c VALUES (1, 99, NULL); DELETE FROM p WHERE b = 1; UPDATE p SET b = 50 WHERE a = 0; SELECT id, x, y FROM c",
+        "SELECT CAST(n_nationkey + 100 AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS x, CAST(CASE WHEN n_nationkey = 0 THEN 50 ELSE n_regionkey END AS BIGINT) AS y FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 1, 99, NULL",
+    ),
+    "fk_child_null": (
+        "PRAGMA foreign_keys = ON; CREATE TABLE p(id INTEGER PRIMARY KEY); CREATE TABLE c(id INTEGER PRIMARY KEY, pid INT REFERENCES p(id)); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, NULLIF(n_regionkey, 3) FROM nation; SELECT id, pid FROM c",
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(NULLIF(n_regionkey, 3) AS BIGINT) AS pid FROM nation",
+    ),
+    "check_constraint": (
+        "CREATE TABLE t(a INT CHECK (a > 3), b INT, CONSTRAINT ck CHECK (a < b)); INSERT OR IGNORE INTO t SELECT p_size, p_partkey % 60 FROM part; INSERT INTO t VALUES (NULL, 1); SELECT a, b FROM t",
+        "SELECT CAST(p_size AS BIGINT) AS a, p_partkey % 60 AS b FROM part WHERE p_size > 3 AND p_size < p_partkey % 60 UNION ALL SELECT NULL, 1",
+    ),
+    "not_null_constraint": (
+        "CREATE TABLE t(a INT NOT NULL, b TEXT NOT NULL DEFAULT 'd'); INSERT OR IGNORE INTO t(a) SELECT NULLIF(p_size, 2) FROM part; SELECT a, b FROM t",
+        "SELECT CAST(p_size AS BIGINT) AS a, 'd' AS b FROM part WHERE p_size <> 2",
+    ),
+    "dml_insert_returning": ("CREATE TABLE t(id INTEGER PRIMARY KEY, s TEXT, n INT DEFAULT 3); INSERT INTO t(id, s) SELECT c_custkey, c_name FROM customer RETURNING id, s || '?' AS q, n", "SELECT c_custkey AS id, c_name || '?' AS q, CAST(3 AS BIGINT) AS n FROM customer"),
+    "dml_update_or_ignore": (
+        "CREATE TABLE t(id INTEGER PRIMARY KEY, u INT UNIQUE); INSERT INTO t SELECT n_nationkey, n_nationkey FROM nation; UPDATE OR IGNORE t SET u = 3 WHERE id IN (3, 7); SELECT id, u FROM t",
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS u FROM nation",
+    ),
+    "dml_update_or_replace": (
+        "CREATE TABLE t(id INTEGER PRIMARY KEY, u INT UNIQUE); INSERT INTO t SELECT n_nationkey, n_nationkey FROM nation; UPDATE OR REPLACE t SET u = 3 WHERE id = 7; SELECT id, u FROM t",
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(CASE WHEN n_nationkey = 7 THEN 3 ELSE n_nationkey END AS BIGINT) AS u FROM nation WHERE n_nationkey <> 3",
+    ),
+    "dml_autocommit": ("CREATE TABLE t(x INTEGER PRIMARY KEY); INSERT INTO t SELECT n_nationkey FROM nation; BEGIN; DELETE FROM t WHERE x > 5; COMMIT; INSERT INTO t VALUES (99); SELECT x FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS x FROM nation WHERE n_nationkey <= 5 UNION ALL SELECT 99"),
+    "trigger_insert": (
+        "CREATE TABLE t(id INTEGER PRIMARY KEY, v INT); CREATE TABLE log(k INT, msg TEXT); CREATE TRIGGER b BEFORE INSERT ON t BEGIN INSERT INTO log VALUES (new.id, 'before'); END; CREATE TRIGGER a AFTER INSERT ON t WHEN new.v > 2 BEGIN INSERT INTO log VALUES (new.id, 'after'); UPDATE t SET v = 0 WHERE id = new.id; END; INSERT INTO t SELECT r_regionkey, r_regionkey FROM region; SELECT k, msg FROM log",
+        "SELECT CAST(r_regionkey AS BIGINT) AS k, 'before' AS msg FROM region UNION ALL SELECT r_regionkey, 'after' FROM region WHERE r_regionkey > 2",
+    ),
+    "trigger_delete": (
+        "CREATE TABLE t(id INTEGER PRIMARY KEY, v TEXT); CREATE TABLE gone(id INT, v TEXT); CREATE TRIGGER d BEFORE DELETE ON t BEGIN INSERT INTO gone VALUES (old.id, old.v); END; INSERT INTO t SELECT r_regionkey, r_name FROM region; DELETE FROM t WHERE id > 1; SELECT id, v FROM gone",
+        "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS v FROM region WHERE r_regionkey > 1",
+    ),
+    "trigger_instead_of": (
+        "CREATE TABLE base(id INTEGER PRIMARY KEY, v INT); INSERT INTO base SELECT r_regionkey, 1 FROM region; CREATE VIEW vw AS SELECT id, v FROM base; CREATE TRIGGER i INSTEAD OF INSERT ON vw BEGIN INSERT INTO base VALUES (new.id, new.v * 10); END; CREATE TRIGGER u INSTEAD OF UPDATE ON vw BEGIN UPDATE base SET v = new.v WHERE id = old.id; END; CREATE TRIGGER x INSTEAD OF DELETE ON vw BEGIN DELETE FROM base WHERE id = old.id; END; INSERT INTO vw VALUES (70, 7); UPDATE vw SET v = v + 1 WHERE id < 2; DELETE FROM vw WHERE id = 4; SELECT id, v FROM base",
+        "SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(CASE WHEN r_regionkey < 2 THEN 2 ELSE 1 END AS BIGINT) AS v FROM region WHERE r_regionkey <> 4 UNION ALL SELECT 70, 70",
+    ),
+    "ddl_drop": (
+        "CREATE TABLE t(a INT); CREATE TABLE u(a INT); CREATE INDEX i ON t(a); CREATE VIEW v AS SELECT a FROM t; CREATE TRIGGER g AFTER INSERT ON t BEGIN INSERT INTO u VALUES (new.a); END; DROP TRIGGER g; INSERT INTO t SELECT r_regionkey FROM region; DROP VIEW v; DROP INDEX i; DROP TABLE IF EXISTS none; DROP VIEW IF EXISTS none; SELECT type, name, (SELECT COUNT(*) FROM u) AS n FROM sqlite_master",
+        "SELECT * FROM (VALUES ('table', 't', 0::BIGINT), ('table', 'u', 0)) v(type, name, n)",
+    ),
+    "ddl_autoincrement": (
+        "CREATE TABLE t(id INTEGER PRIMARY KEY AUTOINCREMENT, s TEXT); INSERT INTO t(s) VALUES ('a'), ('b'), ('c'); DELETE FROM t WHERE id = 3; INSERT INTO t(s) VALUES ('d'); SELECT id, s FROM t",
+        "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, 'b'), (4, 'd')) v(id, s)",
+    ),
+    "catalog_table_xinfo": ("CREATE TABLE t(a INTEGER PRIMARY KEY, b TEXT NOT NULL); SELECT name, type, \"notnull\" AS nn, pk, hidden FROM pragma_table_xinfo('t')", "SELECT * FROM (VALUES ('a', 'INTEGER', 0::BIGINT, 1::BIGINT, 0::BIGINT), ('b', 'TEXT', 1, 0, 0)) v(name, type, nn, pk, hidden)"),
+    "catalog_index_list": (
+        "CREATE TABLE t(a INT, b TEXT UNIQUE); CREATE INDEX i ON t(a, b); CREATE UNIQUE INDEX p ON t(a) WHERE a > 1; SELECT name, \"unique\" AS u, origin, partial FROM pragma_index_list('t')",
+        "SELECT * FROM (VALUES ('i', 0::BIGINT, 'c', 0::BIGINT), ('p', 1, 'c', 1), ('sqlite_autoindex_t_1', 1, 'u', 0)) v(name, u, origin, partial)",
+    ),
+    "catalog_index_info": ("CREATE TABLE t(a INT, b TEXT); CREATE INDEX i ON t(b, a); SELECT seqno, cid, name FROM pragma_index_info('i')", "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 'b'), (1, 0, 'a')) v(seqno, cid, name)"),
+    "catalog_index_xinfo": ("CREATE TABLE t(a INT, b TEXT); CREATE INDEX i ON t(b, a); SELECT seqno, cid, name FROM pragma_index_xinfo('i') WHERE cid >= 0", "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 'b'), (1, 0, 'a')) v(seqno, cid, name)"),
+    "catalog_foreign_key_list": (
+        "CREATE TABLE p(id INTEGER PRIMARY KEY); CREATE TABLE c(x INT REFERENCES p(id) ON DELETE CASCADE ON UPDATE SET NULL); SELECT id, seq, \"table\" AS t, \"from\" AS f, \"to\" AS o, on_update AS u, on_delete AS d FROM pragma_foreign_key_list('c')",
+        "SELECT 0::BIGINT AS id, 0::BIGINT AS seq, 'p' AS t, 'x' AS f, 'id' AS o, 'SET NULL' AS u, 'CASCADE' AS d",
+    ),
+    "catalog_table_list": ("CREATE TABLE t(a INT, b INT); CREATE VIEW v AS SELECT a FROM t; SELECT name, type FROM pragma_table_list WHERE name IN ('t', 'v')", "SELECT * FROM (VALUES ('t', 'table'), ('v', 'view')) x(name, type)"),
+    "catalog_database_list": ("SELECT seq, name FROM pragma_database_list", "SELECT 0::BIGINT AS seq, 'main' AS name"),
+    "pragma_foreign_keys": ("PRAGMA foreign_keys = ON; PRAGMA foreign_keys", "SELECT 1::BIGINT AS foreign_keys"),
+    "pragma_user_version": ("PRAGMA user_version", "SELECT 0::BIGINT AS user_version"),
+    "pragma_encoding": ("PRAGMA encoding", "SELECT 'UTF-8' AS encoding"),
+    "win_named": ("SELECT n_nationkey, SUM(n_nationkey) OVER w AS s, RANK() OVER w AS r FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)", "SELECT n_nationkey, CAST(SUM(n_nationkey) OVER w AS BIGINT) AS s, CAST(RANK() OVER w AS INTEGER) AS r FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)"),
+    "json_each_left": (
+        "SELECT n_nationkey, j.value AS v FROM nation LEFT JOIN json_each(CASE WHEN n_regionkey = 1 THEN '[' || n_nationkey || ']' ELSE '[]' END) AS j ON 1",
+        "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN CAST(n_nationkey AS VARCHAR) END AS v FROM nation",
+    ),
+    "param_positional": ("SELECT o_orderkey, ?1 AS a, ? AS b FROM orders WHERE o_custkey > ?1 AND o_orderstatus > ?", "SELECT o_orderkey, 40 AS a, 'F' AS b FROM orders WHERE o_custkey > 40 AND o_orderstatus > 'F'"),
 }
 
 
@@ -252,7 +335,7 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     for name in TABLES:
         if name in words:
             engine.register_parquet(name, f"{sf_dir}/{name}.parquet")
-    return engine.sql(text, PARAMS)
+    return engine.sql(text, POSITIONAL if "?" in re.sub("'[^']*'", "", text) else PARAMS)
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:

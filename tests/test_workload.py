@@ -8,8 +8,6 @@ import pytest
 import __spark_entry__ as entry
 from quillsql.plans import workload
 
-SLOW = {"dml_upsert_fold", "fk_set_null"}
-
 
 @pytest.fixture(scope="module")
 def oracle(sf_dir):
@@ -24,7 +22,7 @@ def plain(columns, rows):
     return sorted((tuple(round(r[i], 4) if isinstance(r[i], float) else r[i] for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(workload.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query(spark, sf_dir, oracle, name):
     df = workload.queries()[name](spark, sf_dir)
     want = oracle.sql(workload.oracle_sql()[name])
