@@ -9,6 +9,7 @@ word. A merge model has no best-path form with the same ids, so this is its rela
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+#: Words of more characters than this are merged by a queue each, in n log n steps; the ids are the same.
+LONG = 64
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -61,6 +64,39 @@ def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, length
     return low, high
 
 
+def _merge_by_queue(first: int, last: int, most: int, scores: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of one word's symbols: scores has the edges' by begin * most + length; a queue holds the edges that join two neighbours."""
+    end = list(range(first + 1, last + 1))  # by the symbol's begin; 0 once it has joined the one before
+    before = list(range(-1, last - first - 1))
+    queue: list[tuple[float, int, int, int]] = []
+
+    def offer(left: int, right: int) -> None:
+        stop = end[right]
+        got = scores.get((left + first) * most + stop - left - first) if stop - left - first < most else None
+        if got is not None:
+            queue.append((-got, left, right, stop)) if not ready else heapq.heappush(queue, (-got, left, right, stop))
+
+    ready = False
+    size = last - first
+    for i in range(size - 1):
+        offer(i, i + 1)
+    heapq.heapify(queue)
+    ready = True
+    while queue:
+        _, left, right, stop = heapq.heappop(queue)
+        if end[left] != right + first or end[right] != stop:
+            continue
+        end[left], end[right] = stop, 0
+        after = stop - first
+        if after < size:
+            before[after] = left
+            offer(left, after)
+        if before[left] >= 0:
+            offer(before[left], left)
+    begin = [i for i in range(size) if end[i]]
+    return np.array(begin, np.int64) + first, np.array([end[i] for i in begin], np.int64)
+
+
 class PieceModel:
     """A vocabulary as arrays: pieces by code points, their scores, the ids of single bytes."""
 
@@ -96,7 +132,8 @@ class PieceModel:
     def _encode_chunk(self, words: list[str]) -> None:
         text = "\0".join(words) + "\0"
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
-        codes = np.where(codes == 0, -1, codes)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        codes[ends] = -1
         order = suffix_array(codes, self.most)
         low, high = occurrences(codes, order, self.codes, self.lengths)
         counts = high - low
@@ -105,7 +142,6 @@ class PieceModel:
         start = order[np.repeat(low, counts) + nth]
         by_place = np.lexsort((self.lengths[piece], start))
         start, piece = start[by_place], piece[by_place]
-        ends = np.nonzero(codes == -1)[0]
         starts = np.concatenate([[0], ends[:-1] + 1])
         cuts = (self._merge if self.kind == "bpe" else self._best_path)(codes, start, piece, starts, ends)
         edge = {}
@@ -131,14 +167,23 @@ class PieceModel:
         self.words.update(edge)
 
     def _merge(self, codes, start, piece, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) of the symbols left when no two neighbours make a piece; in each round each word's best edge joins."""
+        """(begin, end) of the symbols left when no two neighbours make a piece, the best edge first, of equals the leftmost.
+
+        In each round each word's best edge joins; words of more than LONG characters have a queue of edges each.
+        """
         most = self.most + 1
         key = start * most + self.lengths[piece]
         score = self.scores[piece]
         word = np.cumsum(codes == -1) - (codes == -1)
-        begin = np.nonzero(codes != -1)[0]
+        long = ends - starts > LONG
+        begin = np.nonzero((codes != -1) & ~long[np.minimum(word, len(long) - 1)])[0]
         end = begin + 1
         done_b, done_e = [], []
+        for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            edges = slice(*np.searchsorted(start, [s, e]))
+            found = _merge_by_queue(s, e, most, dict(zip(key[edges].tolist(), score[edges].tolist(), strict=True)))
+            done_b.append(found[0])
+            done_e.append(found[1])
         while len(begin):
             owner = word[begin]
             pair = np.nonzero(owner[1:] == owner[:-1])[0]
@@ -197,13 +242,11 @@ class PieceModel:
         order = np.argsort(begin)
         return begin[order], end[order]
 
-    def split(self, text: str) -> list[str] | None:
-        """A text's words with their marks; None if it holds the mark or the separator of the index.
+    def split(self, text: str) -> list[str]:
+        """A text's words with their marks (a mark in the text is a space to the model).
 
         No piece reaches over the start of a run of marks or a line's end.
         """
-        if MARK in text or "\0" in text:
-            return None
         if self.joined:
             return [(MARK + text).replace(" ", MARK)]
         words: list[str] = []
@@ -227,14 +270,11 @@ class PieceModel:
         split = [self.split(t) if t else [] for t in texts]
         if len(self.words) > most_words:
             self.words.clear()
-        new = {w for words in split if words for w in words} - self.words.keys()
+        new = {w for words in split for w in words} - self.words.keys()
         if new:
             self.encode_words(sorted(new))
         known, out = self.words, []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self.processor.encode(text))
-                continue
+        for words in split:
             ids: list[int] = []
             for w in words:
                 ids += known[w]

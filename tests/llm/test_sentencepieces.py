@@ -60,3 +60,21 @@ def test_odd_rows(spark, docs):
     back = sentencepieces.decode(sentencepieces.encode(df, PATH), PATH).collect()
     assert sorted((r.doc_id, r.text) for r in back) == [(1, ""), (2, ""), (3, "a b"), (3, "a b")]
     assert sentencepieces.encode(docs([]), PATH).count() == 0
+
+
+def test_marks_and_nuls_go_through_the_index():
+    model = sentencepieces.PieceModel(PATH)
+    for text in ("▁a ▁▁b a▁b", "a\0b \0 c", "\0", "x\0\0y▁", "a  b\n\n c\0\n▁\nz", " ▁ "):
+        assert model.encode([text])[0] == model.processor.encode(text)
+
+
+@pytest.mark.parametrize("letters", ["ab", "etaoinshrdlu", "日本語中文字学生大"])
+@pytest.mark.parametrize("length", [sentencepieces.LONG, sentencepieces.LONG + 1, 300, 100_000])
+def test_long_words(letters, length):
+    """Words without a space are merged by a queue: no step is quadratic in their length."""
+    import random
+
+    coin = random.Random(length)
+    text = "".join(coin.choice(letters) for _ in range(length))
+    model = sentencepieces.PieceModel(PATH)
+    assert model.encode([text])[0] == model.processor.encode(text)
