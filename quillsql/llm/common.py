@@ -57,6 +57,14 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that none of df's column names has."""
+    prefix = "_own"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_or_empty(name: str) -> Column:
     """The column as a string, null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsql.llm.common import cut_lineage, drop_cut
+from quillsql.llm.common import cut_lineage, drop_cut, free_prefix
 
 #: Places of a row: an array of Spark holds fewer elements.
 PLACES = 1 << 28
@@ -207,15 +207,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = cut_lineage(first_lines(texts, least_words))
     gone = near_copies(texts, firsts, least_words)
     stay = firsts.select("place").join(gone, "place", "left_anti").select(*_placed("place"))
-    by_row = stay.groupBy("_row").agg(F.collect_list("pos").alias("_stay"))
-    joined = docs.withColumn("_row", row).join(by_row, "_row", "left").withColumn("_lines", F.split(body, "\n", -1))
-    stays = F.coalesce("_stay", F.array().cast("array<int>"))
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"[^ \t\x0B\f\r]"), i)), lambda i: i.isNotNull())
+    p = free_prefix(docs)
+    all_, kept_ = f"{p}lines", f"{p}kept"
+    by_row = stay.groupBy(F.col("_row").alias(f"{p}row")).agg(F.collect_list("pos").alias(f"{p}stay"))
+    joined = docs.withColumn(f"{p}row", row).join(by_row, f"{p}row", "left").withColumn(all_, F.split(body, "\n", -1))
+    stays = F.coalesce(f"{p}stay", F.array().cast("array<int>"))
+    blank = F.filter(F.transform(all_, lambda x, i: F.when(~x.rlike(r"[^ \t\x0B\f\r]"), i)), lambda i: i.isNotNull())
     # null: all lines stay
-    kept = joined.withColumn("_kept", F.when(F.size(stays) < F.size("_lines"), F.array_sort(F.concat(stays, blank))))
-    cut = F.when(F.col("_kept").isNull(), body).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    kept = joined.withColumn(kept_, F.when(F.size(stays) < F.size(all_), F.array_sort(F.concat(stays, blank))))
+    cut = F.when(F.col(kept_).isNull(), body).otherwise(F.array_join(F.transform(kept_, lambda i: F.get(all_, i)), "\n"))
     return kept.select(
         *(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.col("_kept")), F.size("_lines")).cast("long").alias("n_kept_lines"),
+        F.size(all_).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.col(kept_)), F.size(all_)).cast("long").alias("n_kept_lines"),
     )

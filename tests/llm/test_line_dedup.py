@@ -62,11 +62,11 @@ def test_hot_lines_and_templates(spark, docs):
 
 
 def test_odd_rows(spark, docs):
-    df = docs([(1, None), (2, ""), (3, " \n\n"), (None, "x y"), (5, "x y\nz"), (6, "z\nz"), (6, "z\nz")], ["n_lines", "_doc", "h1"])
+    df = docs([(1, None), (2, ""), (3, " \n\n"), (None, "x y"), (5, "x y\nz"), (6, "z\nz"), (6, "z\nz")], ["n_lines", "_row", "_own", "h1"])
     rows = line_dedup.dedup_lines(df).collect()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in rows)
     assert got == [(-1, "x y"), (1, ""), (2, ""), (3, " \n\n"), (5, "z"), (6, ""), (6, "")]
-    assert {r.h1 for r in rows} == {"clash"}
+    assert {x for r in rows for x in (r.h1, r._row, r._own)} == {"clash"}
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
