@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsql.llm.common import cut_lineage, drop_cut
+from quillsql.llm.common import cut_lineage, drop_cut, free_prefix
 from quillsql.llm.components import components
 
 #: Odd multipliers of the shingle hash and of the minhash tokens, from a seeded generator.
@@ -69,21 +69,26 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = 4096
     return (best >> np.uint64(33)).astype(np.int32)
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text): ids may be null or repeat, so a row is named by its text too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, tokens: int, words: int) -> DataFrame:
-    """(doc_id, key, sig) of every document: key tells equal shingle sets, null where there is none."""
+    """(doc_id, text_hash, key, sig) of every document: key tells equal shingle sets, null where there is none."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _tokens(tokens)
         for batch in batches:
             keys, sigs = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found, a, b) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "text_hash", "key", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, key binary, sig array<int>")
+    return _named(docs, id_col, text_col).mapInArrow(work, "doc_id long, text_hash long, key binary, sig array<int>")
 
 
 def _missed(similarity: float, tokens: int, near: int, roots: int, splits: int) -> float:
@@ -229,9 +234,13 @@ def _verified(similarity: float, words: int):
     """Exact links of one block pair: (key, other, links), other being the least of the key's group here."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
-        n = len(pdf)
+        pdf = pdf.sort_values("key", ignore_index=True)
         sets = [shingles(t, words) for t in pdf["text"]]
+        # a text that only shares a hash with the class's own has another key
+        own = [xxhash.xxh3_128_digest(s.tobytes()) == bytes(k) for s, k in zip(sets, pdf["key"], strict=True)]
+        own = np.array(own, bool) & ~pdf["key"].where(own).duplicated().to_numpy()
+        pdf, sets = pdf[own].reset_index(drop=True), [s for s, x in zip(sets, own, strict=True) if x]
+        n = len(pdf)
         sizes = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets) if n else np.empty(0, np.uint64)
         values, at = np.unique(every, return_inverse=True)
@@ -262,27 +271,32 @@ def _verified(similarity: float, words: int):
     return work
 
 
-def near_duplicates(
+def classified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, recall: float = 0.999,
     tokens: int = 64, node_limit: int = 1000, depth: int = 4, block: int = 300,
 ) -> DataFrame:
-    """(doc_id, class_id, n_links) of every document.
+    """(doc_id, text_hash, class_key, class_id, n_links) of every document; class_key is null for texts without words.
 
     A link is a pair of documents whose sets of word shingles have a Jaccard similarity of at least
     similarity; n_links counts a document's links, those to its copies included. class_id is the least
     doc_id that links reach. Texts without words (null ones too) link to nothing. Repeated rows are copies
-    of each other; a null doc_id takes part but is no class's least id unless alone. An empty table gives none.
+    of each other; rows may share an id or have none: a null doc_id takes part, but is no class's least id unless
+    no other is there. An empty table gives none.
     """
     rows = cut_lineage(described(docs, id_col, text_col, tokens, words))
-    grouped = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    known_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    grouped = rows.where("key IS NOT NULL").groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"),
+        F.min(known_id).alias("text_id"), F.min_by("text_hash", known_id).alias("text_hash"),
+    )
     classes = cut_lineage(grouped)
     edges = candidate_edges(classes.select("key", "sig"), similarity, recall, tokens, node_limit, depth)
-    members = cut_lineage(components(edges).join(classes.select(F.col("key").alias("a"), "rep", "copies"), "a"))
+    members = cut_lineage(components(edges).join(classes.select(F.col("key").alias("a"), "text_id", "text_hash", "copies"), "a"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").select(F.col("a").alias("key"), "root", "rep", "copies", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # always by a shuffle: a broadcast would only fit while the corpus is small
-    held = placed.join(texts.hint("merge"), "rep")
+    placed = members.join(sizes, "root").select(F.col("a").alias("key"), "root", "text_id", "text_hash", "copies", "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
+    texts = _named(docs, id_col, text_col).select(known_id.alias("text_id"), "text_hash", "text")
+    # always by a shuffle: a broadcast would only fit while the corpus is small; rows that repeat an id and a text give one
+    held = placed.join(texts.hint("merge"), ["text_id", "text_hash"]).dropDuplicates(["key", "text"])
     squares = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
     )
@@ -292,8 +306,34 @@ def near_duplicates(
     totals = links.groupBy("key").agg(F.sum("links").alias("links"))
     known = roots.select(F.col("a").alias("key"), "root").join(classes.select("key", "rep"), "key")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = known.join(least, "root").select("key", "class_id").join(totals, "key")
+    linked = known.join(least, "root").join(totals, "key").select("key", F.col("root").alias("class_key"), "class_id", "links")
     by_class = classes.select("key", "rep", "copies").join(linked, "key", "left")
-    by_class = by_class.select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "key").join(by_class, "key", "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_class = by_class.select(
+        "key", F.coalesce("class_key", "key").alias("class_key"), F.when(F.col("class_key").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+    out = rows.select("doc_id", "text_hash", "key").join(by_class, "key", "left")
+    return out.select(
+        "doc_id", "text_hash", "class_key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document, as classified() has them."""
+    return classified(docs, **options).select("doc_id", "class_id", "n_links")
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without near copies: of each class a row with the least id stays (null ids are the greatest), and every text without words.
+
+    Rows of one id go by a hash of their texts; of rows that repeat an id and a text one stays.
+    """
+    named = classified(docs, id_col, text_col, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    least = named.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_hash")
+    p = free_prefix(docs)
+    stay = least.unionAll(named.where("class_key IS NULL").select("doc_id", "text_hash")).distinct().select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"))
+    hashed = docs.withColumn(f"{p}text", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = hashed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}text") == F.col(f"{p}hash")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]).select(docs.columns)

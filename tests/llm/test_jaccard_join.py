@@ -60,6 +60,33 @@ def test_odd_rows(spark, docs):
     assert jaccard_join.near_duplicates(docs([])).count() == 0
 
 
+def test_clashing_ids(spark, docs):
+    """Links go by rows: an id with two texts and a null id with two texts have each text's links."""
+    r = random.Random(2)
+    a, b, c = ([f"{x}{r.randrange(10_000)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:59], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, " ".join(c)), (4, near(c)), (None, "lone text of a null id"), (None, "lone text of a null id")]
+    got = sorted((x.doc_id or 0, x.class_id or 0, x.n_links) for x in jaccard_join.near_duplicates(docs(rows)).collect())
+    assert got == [(0, 0, 1), (0, 0, 1), (0, 4, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1)]
+
+
+def test_a_large_group_and_what_lies_at_its_edge(spark, docs):
+    """Near copies of one text, and for each of some of them a text just within the threshold of it but further from the rest."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            at = r.randrange(20, 160)
+            rows.append((1000 + i, " ".join([*words[:at], *(f"y{r.randrange(10**6)}" for _ in range(18)), *words[at + 18 :]])))
+    found = jaccard_join.near_duplicates(docs(rows), node_limit=20)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in found.collect()} == brute(rows)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3), (300, 301), (301, 300)]
     got = {r.a: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -47,4 +47,23 @@ def test_repeated_rows_and_nulls(spark, docs, sf_dir):
     df = docs([(1, long_text), (1, long_text), (2, None), (3, long_text + " more")])
     kept = corpus_pipeline.near_copies(spark, df, sf_dir)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    clash = docs([(None, long_text), (4, long_text + " more"), (None, "own text of a null id"), (4, "other text of four"), (None, None)], ["_id", "class_key"])
+    got = corpus_pipeline.near_copies(spark, clash, sf_dir)
+    assert sorted(str(r.text) for r in got.collect()) == sorted([long_text + " more", "own text of a null id", "other text of four", "None"])
+    assert got.columns == clash.columns
     assert corpus_pipeline.near_copies(spark, docs([]), sf_dir).count() == 0
+
+
+def test_stages_on_odd_rows(spark, docs, sf_dir):
+    """Null ids and texts, repeated rows, clashing names and empty tables go through every stage."""
+    from quillsql.llm.common import cut_lineage
+
+    good = "\n".join(" ".join(f"the house of number {i * 7 + j} stands by the river" for j in range(3)) for i in range(12))
+    df = docs([(1, good), (1, good), (None, good + "\nand one more line of words here"), (2, None), (3, ""), (1, "short"), (4, "x" * 50_000)], ["kept", "_row", "key", "pii_spans"])
+    for rows in (df, df.limit(0)):
+        now = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, rows, sf_dir).count()
+            now = cut_lineage(stage(spark, now, sf_dir))
+            assert now.columns == rows.columns
+        corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).count()
