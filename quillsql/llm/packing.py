@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by minimum bin slack.
 
 Each bin starts from the longest piece left; a bitset subset-sum over the lengths that are left finds
-the fullest feasible rest, which is removed. Lengths are at most the bin's size, so a chunk's state is a
-histogram, and one combination is applied as often as its lengths allow. Chunks are packed on their own,
-inside the task that tokenised them: no shuffle, no group in one task, and a lost task is just redone.
-A chunk wastes about its last bin, 1 in tens of thousands.
+the fullest feasible rest, which is removed. Lengths are at most the bin's size, so the state is a
+histogram, and one combination is applied as often as its lengths allow. A task packs what it tokenised
+and closes the bins that were filled from a rich choice or are full; the few pieces of its other bins stay
+open and are packed again with those of other tasks, as a tree of merges with bounded groups, until one
+group is left. So the number of bins does not depend on how the documents are dealt.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsql.llm.common import cut_lineage
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PIECES_ARROW = pa.schema(
     [
@@ -38,7 +41,7 @@ class WordEncoder:
     """Token ids of a byte-level BPE as little-endian unsigned 32-bit bytes, with a bounded cache by word.
 
     The vocabulary cuts a text into words before it merges bytes, so a text's ids are its words' ids in
-    a row. Texts outside PLAIN are encoded whole. If the same vocabulary is given as ranks too, new words
+    a row. Texts outside PLAIN, and those with the text of a special token, are encoded whole. If the same vocabulary is given as ranks too, new words
     are merged by those, which is several times as fast and gives the same ids.
     """
 
@@ -46,7 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_words = max_words
         self.words: dict[str, bytes] = {}
         self.ranks = None
@@ -66,7 +69,7 @@ class WordEncoder:
         return [array("I", self.ranks._core_bpe.encode_single_piece(w.encode())).tobytes() for w in words]
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(t in text for t in self.special):
             return self._encode([text])[0]
         words = WORDS.findall(text)
         ids = list(map(self.words.get, words))
@@ -148,41 +151,86 @@ def pack_lengths(lengths: Iterable[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int = 2048, separator: int = 0, chunk: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Packer:
+    """Collects pieces (the first five PIECES) and packs them; what stays open is packed with the next ones."""
+
+    def __init__(self, size: int, chunk: int, choice: int, base: int):
+        self.size, self.chunk, self.choice, self.base = size, chunk, choice, base
+        self.rows: list[tuple] = []
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in PIECES_ARROW]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES_ARROW, strict=True)], schema=PIECES_ARROW)
+
+    def packed(self, last: bool = False) -> pa.RecordBatch:
+        """The pieces of closed bins; of all bins at last."""
+        left, out, stay = len(self.rows), [], []
+        for members in pack_lengths((r[3] for r in self.rows), self.size):
+            slack = self.size - sum(self.rows[i][3] for i in members)
+            if last or left >= self.choice or slack <= self.size // 1024:
+                at = 0
+                for i in members:
+                    out.append((*self.rows[i], self.base, at))
+                    at += self.rows[i][3]
+                self.base += 1
+            else:
+                stay += [self.rows[i] for i in members]
+            left -= len(members)
+        self.rows = stay
+        return self._batch(out)
+
+    def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        if len(self.rows) >= self.chunk:
+            yield self.packed()
+
+    def open(self) -> pa.RecordBatch:
+        """The pieces of open bins, without a sequence."""
+        return self._batch([(*r, None, None) for r in self.rows])
+
+
+def pack_documents(
+    docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int = 2048, separator: int = 0,
+    chunk: int = 200_000, choice: int = 2_000, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Pieces of all documents (PIECES), packed into sequences of at most size tokens.
 
     A document is its token ids, then the separator; a null text is empty, so it has one token. Only
-    documents longer than size are cut. Repeated rows are packed as often as they occur; a null doc_id
-    stays null; an empty table gives no pieces. A task keeps the numbers of at most about chunk pieces.
+    documents longer than size are cut, texts of any length whole. Repeated rows are packed as often as they
+    occur; a null doc_id stays null; an empty table gives no pieces; other columns play no part. Equal lengths
+    go by the order in which they are read. A task holds the numbers of at most about chunk pieces. Bins that
+    are filled while at least choice pieces are left, or to 1 in 1024, are closed; the others' pieces, fewer
+    than choice a task, are packed again in groups of about chunk pieces until there is one group.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary, ranks), separator.to_bytes(4, "little")
-        base = TaskContext.get().partitionId() << 33
-        rows: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            nonlocal base
-            sequence, offset = [0] * len(rows), [0] * len(rows)
-            for members in pack_lengths((r[3] for r in rows), size):
-                at = 0
-                for i in members:
-                    sequence[i], offset[i] = base, at
-                    at += rows[i][3]
-                base += 1
-            columns = [*(list(c) for c in zip(*rows, strict=True)), sequence, offset]
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES_ARROW, strict=True)], schema=PIECES_ARROW)
-
+        packer = Packer(size, chunk, choice, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py()) + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, size)):
-                    rows.append((doc_id, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
-                if len(rows) >= chunk:
-                    yield packed()
-        if rows:
-            yield packed()
+                    yield from packer.add((doc_id, piece, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])))
+        yield packer.packed()
+        yield packer.open()
+
+    def again(level: int, last: bool):
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packer = Packer(size, chunk, choice, level << 56 | TaskContext.get().partitionId() << 32)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                    yield from packer.add(row)
+            yield packer.packed(last)
+            yield packer.open()
+
+        return work
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(work, PIECES)
+    made = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(work, PIECES))
+    out = made.where("sequence_id IS NOT NULL")
+    level = 0
+    while n := (rest := made.where("sequence_id IS NULL")).count():
+        level, groups = level + 1, -(-n // chunk)
+        made = cut_lineage(rest.coalesce(groups).mapInArrow(again(level, groups == 1), PIECES))
+        out = out.unionAll(made.where("sequence_id IS NOT NULL"))
+    return out

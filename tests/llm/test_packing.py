@@ -41,11 +41,10 @@ def test_cut(n):
     assert all(k == 2048 for _, k in pieces[1:])
 
 
-@pytest.mark.parametrize("text", ["", "a  b\n\n c", "it's we'll 'LL", "ß²½ x", "日本 語 12", "\x1c a \x85b", "<|endoftext|> x_y", "x" * 3000, "🙂 🙂"])
+@pytest.mark.parametrize("text", ["", "a  b\n\n c", "it's we'll 'LL", "ß²½ x", "日本 語 12", "\x1c a \x85b", "<|endoftext|> x_y", "a <|endoftext|> b", "a <|endoftext | > b", "x" * 3000, "🙂 🙂"])
 def test_word_encoder_is_the_tokenizer(text):
     encode = packing.WordEncoder(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
@@ -85,3 +84,21 @@ def test_odd_rows(spark, docs):
     assert sum(r.length for r in rows if r.doc_id == 3) > 4096
     assert sum(r.doc_id is None for r in rows) == 1
     assert packing.pack_documents(docs([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 16, 211])
+def test_bins_do_not_depend_on_partitions(spark, sf_dir, parts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(parts)
+    rows = packing.pack_documents(docs, PATH, chunk=300, choice=20).collect()
+    total, sizes = sum(r.length for r in rows), defaultdict(int)
+    for r in rows:
+        sizes[r.sequence_id] += r.length
+    assert len(sizes) <= -(-total // 2048) + 2 and max(sizes.values()) <= 2048
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_pieces_that_share_no_bin(spark, docs):
+    """Texts of a bit more than half a bin never fill one: every piece has its own."""
+    df = docs([(i, " word" * 1100) for i in range(50)]).repartition(7)
+    rows = packing.pack_documents(df, PATH, chunk=10, choice=4).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 50
