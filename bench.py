@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "pricing_summary", "count_star", "pk_lookup", "count_selective", "count_range", "agg_group", "join_count_star", "corr_count", "join_chain4",
-    "win_rank_dense", "topk", "semi_exists", "cte_in_join", "dml_insert_select", "dml_update", "agg_distinct",
+    "win_rank_dense", "topk", "semi_exists", "cte_in_join", "dml_insert_orders", "dml_update", "agg_distinct",
 )
 
 

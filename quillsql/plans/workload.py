@@ -217,6 +217,10 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     ),
     # data manipulation and definition, on tables of the engine's own
     "dml_insert_select": ("CREATE TABLE n2(k INTEGER PRIMARY KEY, name TEXT, r INT DEFAULT 7); INSERT INTO n2(k, name) SELECT n_nationkey, n_name FROM nation; SELECT k, name, r FROM n2", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(7 AS BIGINT) AS r FROM nation"),
+    "dml_insert_orders": (
+        "CREATE TABLE o2(k INTEGER PRIMARY KEY, c INT, p REAL); INSERT INTO o2 SELECT o_orderkey, o_custkey, o_totalprice FROM orders; SELECT k, c, p FROM o2",
+        "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p FROM orders",
+    ),
     "dml_insert_values": ("CREATE TABLE t(id INTEGER PRIMARY KEY, s TEXT); INSERT INTO t(s) VALUES ('a'), ('b'); INSERT INTO t DEFAULT VALUES; INSERT INTO t VALUES (10, 'z'); INSERT INTO t(s) VALUES ('y'); SELECT * FROM t", "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, 'b'), (3, NULL), (10, 'z'), (11, 'y')) v(id, s)"),
     "dml_update": ("CREATE TABLE p2 AS SELECT p_partkey AS k, p_size AS s, p_retailprice AS c FROM part; UPDATE p2 SET c = c * 2, s = s + 1 WHERE s % 2 = 0; SELECT k, s, ROUND(c, 2) AS c FROM p2", "SELECT p_partkey AS k, CAST(CASE WHEN p_size % 2 = 0 THEN p_size + 1 ELSE p_size END AS BIGINT) AS s, ROUND(CASE WHEN p_size % 2 = 0 THEN p_retailprice * 2 ELSE p_retailprice END, 2) AS c FROM part"),
     "dml_update_subquery": ("CREATE TABLE c2 AS SELECT c_custkey AS k, c_acctbal AS b FROM customer; UPDATE c2 SET b = 0 WHERE b < (SELECT AVG(b) FROM c2); SELECT k, b FROM c2", "SELECT c_custkey AS k, CASE WHEN c_acctbal < (SELECT AVG(c_acctbal) FROM customer) THEN 0 ELSE c_acctbal END AS b FROM customer"),
