@@ -5,7 +5,7 @@ the fullest feasible rest, which is removed. Lengths are at most the bin's size,
 histogram, and one combination is applied as often as its lengths allow. A task packs what it tokenised
 and closes the bins that were filled from a rich choice or are full; the few pieces of its other bins stay
 open and are packed again with those of other tasks, as a tree of merges with bounded groups, until one
-group is left. So the number of bins does not depend on how the documents are dealt.
+group is left. So the number of bins hardly depends on how the documents are dealt.
 """
 
 from __future__ import annotations
