@@ -1,8 +1,9 @@
 """Similarity join of documents on word shingles by the chosen path.
 
 Equal shingle sets are one class at once. Root nodes split the classes on distinct minhash tokens; large
-nodes are split again on tokens that a coin chose for the node (each with probability 1 / (similarity x
-tokens), so a pair at the threshold is expected in one child), until a node is small. Small nodes are
+nodes are split again on one or two tokens drawn for the node (1 / similarity on average, so a pair at the
+threshold is expected in one child; drawn numbers differ by one at most, so that fewer pairs than by a coin for
+every token have no child), until a node is small. Small nodes are
 compared all with all on their signatures. There are as many roots as a pair at the threshold needs to be
 missed with less than 1 - recall even if it is split as often as depth allows. Nodes that stay large are
 one candidate group as they are. Candidate groups are then compared all with all on whole shingle sets,
@@ -91,21 +92,27 @@ def described(docs: DataFrame, id_col: str, text_col: str, tokens: int, words: i
     return _named(docs, id_col, text_col).mapInArrow(work, "doc_id long, text_hash long, key binary, sig array<int>")
 
 
+def _all_lost(k: int, drawn: int, tokens: int, stays: float) -> float:
+    """Chance that none of drawn distinct tokens keeps a pair that shares k of them, where a shared one keeps it with chance stays."""
+    ways = sum(math.comb(k, h) * math.comb(tokens - k, drawn - h) * (1 - stays) ** h for h in range(min(k, drawn) + 1))
+    return ways / math.comb(tokens, drawn)
+
+
 def _missed(similarity: float, tokens: int, near: int, roots: int, splits: int) -> float:
     """Chance that a pair at the similarity is told apart if every node it meets is split until the last of the splits.
 
-    A pair shares k of the tokens; each split keeps it if a chosen token is one of them. Roots are dealt evenly
+    A pair shares k of the tokens; each split keeps it if a drawn token is one of them. Roots are dealt evenly
     over the tokens. A pair that shares fewer than near tokens is not found in a small node.
     """
-    chance = 1 / (similarity * tokens)
+    few = int(1 / similarity)
+    more = 1 / similarity - few
     rounds, rest = divmod(roots, tokens)
     total = 0.0
     for k in range(tokens + 1):
         stays = 1.0
         for _ in range(splits - 1):
-            stays = 1 - (1 - chance * stays) ** k
-        lost = (1 - stays) ** (rounds * k)
-        lost *= sum(math.comb(k, h) * math.comb(tokens - k, rest - h) * (1 - stays) ** h for h in range(min(k, rest) + 1)) / math.comb(tokens, rest)
+            stays = 1 - (1 - more) * _all_lost(k, few, tokens, stays) - more * _all_lost(k, few + 1, tokens, stays)
+        lost = (1 - stays) ** (rounds * k) * _all_lost(k, rest, tokens, stays)
         total += math.comb(tokens, k) * similarity**k * (1 - similarity) ** (tokens - k) * (1.0 if k < near else lost)
     return total
 
@@ -120,10 +127,12 @@ def _roots(similarity: float, recall: float, tokens: int, near: int, splits: int
     return [(i // tokens, order[i % tokens]) for i in range(count)]
 
 
-def _children(node: Column, sig: Column, tokens: int, chance: float) -> Column:
-    """The children of a row's node: for every token whose coin for that node fell well, the token's value."""
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda j: F.pmod(F.xxhash64(node, j), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    return F.transform(chosen, lambda j: F.xxhash64(node, j, F.element_at(sig, j + 1)))
+def _children(node: Column, sig: Column, tokens: int, similarity: float) -> Column:
+    """The children of a row's node: the values of the tokens drawn for that node, 1 / similarity on average."""
+    few = int(1 / similarity)
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda j: F.struct(F.xxhash64(node, j).alias("h"), j.alias("j"))))
+    one_more = F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(1 << 30)) < int((1 / similarity - few) * (1 << 30))
+    return F.transform(F.slice(drawn, F.lit(1), F.lit(few) + one_more.cast("int")), lambda d: F.xxhash64(node, d.j, F.element_at(sig, d.j + 1)))
 
 
 def _forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -199,7 +208,6 @@ def _leaf_edges(least: float, tokens: int):
 
 def candidate_edges(classes: DataFrame, similarity: float, recall: float, tokens: int, node_limit: int, depth: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair of classes (key, sig) at the similarity, but for 1 - recall."""
-    chance = 1 / (similarity * tokens)
     spread = math.sqrt(similarity * (1 - similarity) / tokens)
     least = similarity - 3.5 * spread
     leaf = _leaf_edges(least, tokens)
@@ -223,7 +231,7 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float, tokens
             least = large.groupBy("node").agg(F.min("key").alias("b"))
             edges = edges.unionAll(large.join(least, "node").select(F.col("key").alias("a"), "b").where("a <> b"))
         else:
-            rows = large.join(classes, "key").select("key", F.explode(_children(F.col("node"), sig, tokens, chance)).alias("node")).distinct()
+            rows = large.join(classes, "key").select("key", F.explode(_children(F.col("node"), sig, tokens, similarity)).alias("node")).distinct()
     out = cut_lineage(edges.distinct())
     for c in cuts:
         drop_cut(c)
