@@ -19,24 +19,29 @@ def vocabulary(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that earlier ones have."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept_lines", "text")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, then read back."""
     bundles = cut_lineage(warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages"))))
     return warc.read_bundles(bundles, payloads=False).drop("payload")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and number of links of every document, at five words and 0.8."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rule, else by the regression."""
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.default_model(spark))
     return judged.select(
         "page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"),
@@ -45,11 +50,13 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures and verdict of every document."""
     measured = quality.quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return measured.select("doc_id", *(name for name, _ in quality.METRICS))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
 
@@ -59,6 +66,7 @@ def _of_kind(kind: int) -> Callable[[Column], Column]:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and spans of personal data of every document."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, _of_kind(k))) for k in range(pii.BASE_KINDS)]
@@ -71,6 +79,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document's whole text."""
     return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
 

@@ -1,5 +1,8 @@
+import math
 import re
 
+import xxhash
+
 from quillsql.llm import queries, url_filters
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -42,6 +45,37 @@ def test_query_against_brute_force(spark, sf_dir):
         assert r.verdict == (verdict or ("block" if r.score > 1 else "allow"))
 
 
+def buckets(host, path, sizes, n):
+    grams = [f"{mark}{k}:{('^' + part + '$')[i : i + k]}" for mark, part in (("h", host), ("p", path)) for k in sizes for i in range(len(part) + 2)]
+    # signed as Spark's hash is
+    return [((h - (1 << 64) if h >> 63 else h) % n) for h in (xxhash.xxh64_intdigest(g.encode(), 42) for g in grams)]
+
+
+def test_score_against_a_plain_regression(spark):
+    """The same regression in plain Python, features and all, fitted on the same table: equal weights, scores and verdicts."""
+    rows = [(u, *brute(u)[:2], y) for u, y in url_filters.labelled_urls()]
+    features = sorted((([b + 1 for b in buckets(h, p, (3, 4, 5), 4096)], y) for _, h, p, y in rows))
+    weights, bias = [0.0] * 4096, 0.0
+    for epoch in range(40):
+        step = 0.5 / (1 + epoch / 20)
+        for found, y in features:
+            z = bias + sum(weights[b - 1] for b in found) / math.sqrt(len(found))
+            error = 1 / (1 + math.exp(-z)) - y
+            bias -= 0.1 * step * error
+            for b in found:
+                weights[b - 1] -= step * (error / math.sqrt(len(found)) + 1e-4 * weights[b - 1])
+    model = url_filters.default_model(spark)
+    assert abs(model.bias - bias) < 1e-9 and max(abs(a - b) for a, b in zip(model.weights, weights, strict=True)) < 1e-9
+    pages = spark.createDataFrame([(u,) for u in URLS + URLS], "url string")  # repeated rows have equal results
+    got = url_filters.judge_urls(pages, model, []).collect()
+    assert len(got) == 2 * len(URLS)
+    for r in got:
+        host, path = brute(r.url)[:2]
+        found = buckets(host, path, (3, 4, 5), 4096)
+        score = bias + sum(weights[b] for b in found) / math.sqrt(len(found))
+        assert abs(r.url_score - score) < 1e-6 and r.url_verdict == ("block" if score > 1 else "allow")
+
+
 def test_held_out_accuracy(spark):
     """Hosts of other forms and words that share parts with the labelled ones only."""
     bad = ["https://casino-club.example.se/a", "https://best-pills.example.co/b/", "http://pokerbets.example.de/", "https://www.adultcams.example.fr/x", "http://spamlinks.example.it/1", "http://ads-click.example.nl/"]
