@@ -78,20 +78,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def _gram_bucket(chars: Column, mark: str, n: int, buckets: int) -> Callable[[Column, Column], Column]:
-    def bucket(_: Column, i: Column) -> Column:
-        gram = F.concat(F.lit(mark), F.concat_ws("", F.slice(chars, i + 1, n)))
-        return (F.pmod(F.xxhash64(gram), F.lit(buckets)) + 1).cast("int")
+def _gram_buckets(mark: str, sizes: Sequence[int], buckets: int) -> Callable[[Column], Column]:
+    """From a part's characters to the buckets of its n-grams; each n-gram is a slice of an array that is made once."""
 
-    return bucket
+    def of_size(chars: Column, n: int) -> Column:
+        def bucket(_: Column, i: Column) -> Column:
+            gram = F.concat(F.lit(f"{mark}{n}:"), F.concat_ws("", F.slice(chars, i + 1, n)))
+            return (F.pmod(F.xxhash64(gram), F.lit(buckets)) + 1).cast("int")
+
+        return F.transform(chars, bucket)
+
+    return lambda chars: F.concat(*(of_size(chars, n) for n in sizes))
 
 
 def ngram_buckets(host: Column, path: Column, sizes: Sequence[int], buckets: int) -> Column:
-    """Array of bucket numbers (from 1) of the character n-grams of host and path."""
+    """Array of bucket numbers (from 1) of the character n-grams of host and path, in time linear in their lengths."""
     parts = []
     for mark, part in (("h", host), ("p", path)):
         chars = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")
-        parts += [F.transform(chars, _gram_bucket(chars, f"{mark}{n}:", n, buckets)) for n in sizes]
+        # as a lambda's variable the characters are split once, not once for each n-gram
+        parts.append(F.flatten(F.transform(F.array(chars), _gram_buckets(mark, sizes, buckets))))
     return F.concat(*parts)
 
 
