@@ -2,7 +2,7 @@
 
 A batch's distinct words are laid end to end and indexed by a suffix array. Every piece of the vocabulary
 is binary-searched in it, all at once, for the range of its occurrences. The occurrences are edges from
-start to end; sorted by position they are relaxed: for unigram models along the best path, for the merge
+start to end; laid out by position and length they are relaxed: for unigram models along the best path, for the merge
 models (BPE) in the order of merging, where the best edge that joins two neighbours goes first in each
 word. A merge model has no best-path form with the same ids, so this is its relaxation.
 """
@@ -10,7 +10,9 @@ word. A merge model has no best-path form with the same ids, so this is its rela
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +24,27 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Words of more characters than this are merged by a queue each, in n log n steps; the ids are the same.
 LONG = 64
+_WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes sorted by their next depth codes, by prefix doubling; ties by position."""
+    """Positions of codes sorted by their next depth codes at least, by prefix doubling from as many as fit 63 bits."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    step = 1
+    alphabet, rank = np.unique(codes, return_inverse=True)
+    bits = len(alphabet).bit_length()  # of 1 to len(alphabet), and 0 past the end
+    step = min(depth, max(1, 63 // max(1, bits)))
+    padded = np.concatenate([rank.astype(np.int64) + 1, np.zeros(step, np.int64)])
+    both = np.zeros(n, np.int64)
+    for d in range(step):
+        both <<= bits
+        both |= padded[d : d + n]
     while step < depth:
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int64) + 1
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - step)] = rank[step:]
-        both = rank * (n + len(codes) + 2) + ahead
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64) + 1
+        both = rank * (n + 2) + ahead
         step *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(both)
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +122,11 @@ class PieceModel:
         for row, i in enumerate(plain):
             self.codes[row, : self.lengths[row]] = [ord(c) for c in self.pieces[i]]
         self.scores = np.array([self.processor.get_score(i) for i in plain])
+        self.ranks = np.unique(self.scores, return_inverse=True)[1].astype(np.int64) << 32
         self.by_byte = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.processor.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.by_byte.items()}
+        self.shown = list(self.pieces)
+        for b, i in self.by_byte.items():
+            self.shown[i] = bytes([b]).decode("utf-8", "surrogateescape")
         self.joined = any(MARK in self.pieces[i][1:].lstrip(MARK) for i in plain)
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -137,91 +149,81 @@ class PieceModel:
         order = suffix_array(codes, self.most)
         low, high = occurrences(codes, order, self.codes, self.lengths)
         counts = high - low
-        piece = np.repeat(np.arange(len(self.ids)), counts)
+        piece = np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         start = order[np.repeat(low, counts) + nth]
-        by_place = np.lexsort((self.lengths[piece], start))
-        start, piece = start[by_place], piece[by_place]
+        row = self.most + 1
+        edges = np.full(len(codes) * row, -1, np.int32)  # the piece from a place on, by place * row + length
+        edges[start * row + self.lengths[piece]] = piece
         starts = np.concatenate([[0], ends[:-1] + 1])
-        cuts = (self._merge if self.kind == "bpe" else self._best_path)(codes, start, piece, starts, ends)
-        edge = {}
-        key = start * (self.most + 1) + self.lengths[piece]
-        ids = self.ids[piece]
-        keep = np.searchsorted(key, cuts[0] * (self.most + 1) + np.minimum(cuts[1] - cuts[0], self.most))
-        keep = np.minimum(keep, max(0, len(key) - 1))
-        hit = (key[keep] == cuts[0] * (self.most + 1) + (cuts[1] - cuts[0])) if len(key) else np.zeros(len(cuts[0]), bool)
-        found = np.where(hit, ids[keep] if len(key) else 0, -1)
-        bounds = np.searchsorted(cuts[0], np.concatenate([starts, [len(codes)]]))
-        found, begin, stop = found.tolist(), cuts[0].tolist(), cuts[1].tolist()
-        for w, word in enumerate(words):
-            row = found[bounds[w] : bounds[w + 1]]
-            if -1 in row:
-                out: list[int] = []
-                for k in range(bounds[w], bounds[w + 1]):
-                    if found[k] >= 0:
-                        out.append(found[k])
-                    else:
-                        out += [self.by_byte[b] for b in text[begin[k] : stop[k]].encode("utf-8", "replace")]
-                row = out
-            edge[word] = tuple(row)
-        self.words.update(edge)
-
-    def _merge(self, codes, start, piece, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = (self._merge if self.kind == "bpe" else self._best_path)(codes, edges, starts, ends)
+        found = edges[begin * row + (end - begin)]
+        bounds = np.searchsorted(begin, np.concatenate([starts, [len(codes)]]))
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(found < 0), "right") - 1).tolist()
+        ids, cuts = self.ids[found].tolist(), bounds.tolist()
+        self.words.update(zip(words, [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for w in odd:
+            out: list[int] = []
+            for k in range(cuts[w], cuts[w + 1]):
+                if found[k] >= 0:
+                    out.append(ids[k])
+                else:
+                    out += [self.by_byte[b] for b in text[begin[k] : end[k]].encode("utf-8", "replace")]
+            self.words[words[w]] = tuple(out)
+
+    def _merge(self, codes, edges, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) of the symbols left when no two neighbours make a piece, the best edge first, of equals the leftmost.
 
         In each round each word's best edge joins; words of more than LONG characters have a queue of edges each.
         """
-        most = self.most + 1
-        key = start * most + self.lengths[piece]
-        score = self.scores[piece]
-        word = np.cumsum(codes == -1) - (codes == -1)
+        most, size = self.most + 1, len(codes)
+        owner = np.cumsum(codes == -1) - (codes == -1)
         long = ends - starts > LONG
-        begin = np.nonzero((codes != -1) & ~long[np.minimum(word, len(long) - 1)])[0]
-        end = begin + 1
+        begin = np.nonzero((codes != -1) & ~long[np.minimum(owner, len(long) - 1)])[0]
+        end, owner = begin + 1, owner[begin]
         done_b, done_e = [], []
         for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            edges = slice(*np.searchsorted(start, [s, e]))
-            found = _merge_by_queue(s, e, most, dict(zip(key[edges].tolist(), score[edges].tolist(), strict=True)))
+            at = np.flatnonzero(edges[s * most : e * most] >= 0) + s * most
+            found = _merge_by_queue(s, e, most, dict(zip(at.tolist(), self.scores[edges[at]].tolist(), strict=True)))
             done_b.append(found[0])
             done_e.append(found[1])
         while len(begin):
-            owner = word[begin]
-            pair = np.nonzero(owner[1:] == owner[:-1])[0]
-            length = end[pair + 1] - begin[pair]
-            ok = length < most
-            pair, length = pair[ok], length[ok]
-            want = begin[pair] * most + length
-            at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-            hit = key[at] == want if len(key) else np.zeros(len(pair), bool)
+            length = end[1:] - begin[:-1]
+            pair = np.flatnonzero((owner[1:] == owner[:-1]) & (length < most))
+            at = edges[begin[pair] * most + length[pair]]
+            hit = at >= 0
             pair, at = pair[hit], at[hit]
             if not len(pair):
                 break
             # the best of each word: highest score, then leftmost
-            ranked = np.lexsort((begin[pair], -score[at], owner[pair]))
-            first = np.ones(len(ranked), bool)
-            first[1:] = owner[pair][ranked][1:] != owner[pair][ranked][:-1]
-            chosen = pair[ranked[first]]
+            value = self.ranks[at] + (size - begin[pair])
+            first = np.flatnonzero(np.concatenate([[True], np.diff(owner[pair]) != 0]))
+            top = np.maximum.reduceat(value, first)
+            chosen = pair[value == np.repeat(top, np.diff(np.concatenate([first, [len(pair)]])))]
             active = np.zeros(len(starts), bool)
             active[owner[chosen]] = True
             end[chosen] = end[chosen + 1]
             keep = np.ones(len(begin), bool)
             keep[chosen + 1] = False
-            idle = keep & ~active[owner]
+            going = active[owner]
+            idle = keep & ~going
             done_b.append(begin[idle])
             done_e.append(end[idle])
-            keep &= active[owner]
-            begin, end = begin[keep], end[keep]
+            keep &= going
+            begin, end, owner = begin[keep], end[keep], owner[keep]
         begin, end = np.concatenate([*done_b, begin]), np.concatenate([*done_e, end])
         order = np.argsort(begin)
         return begin[order], end[order]
 
-    def _best_path(self, codes, start, piece, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+    def _best_path(self, codes, edges, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) of the path of the highest score in each word; a character without a piece costs ten below the least."""
         worst = float(self.scores.min()) - 10.0
         best = [-1e300] * (len(codes) + 1)
         back = [0] * (len(codes) + 1)
         for s in starts.tolist():
             best[s] = 0.0
+        at = np.flatnonzero(edges >= 0)
+        start, piece = at // (self.most + 1), edges[at]
         bounds = np.searchsorted(start, np.arange(len(codes) + 1)).tolist()
         lengths, scores = self.lengths[piece].tolist(), self.scores[piece].tolist()
         for i in np.nonzero(codes != -1)[0].tolist():
@@ -249,55 +251,23 @@ class PieceModel:
         """
         if self.joined:
             return [(MARK + text).replace(" ", MARK)]
-        words: list[str] = []
-        for n, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
-            if n:
-                words.append("\n")
-            first, *rest = line.split(MARK)
-            if first:
-                words.append(first)
-            marks = 0
-            for w in rest:
-                marks += 1
-                if w:
-                    words.append(MARK * marks + w)
-                    marks = 0
-            if marks:
-                words.append(MARK * marks)
-        return words
+        return _WORDS.findall(MARK + text.replace(" ", MARK))
 
     def encode(self, texts: list[str], most_words: int = 500_000) -> list[list[int]]:
         split = [self.split(t) if t else [] for t in texts]
         if len(self.words) > most_words:
             self.words.clear()
-        new = {w for words in split for w in words} - self.words.keys()
+        new = set().union(*split) - self.words.keys()
         if new:
-            self.encode_words(sorted(new))
-        known, out = self.words, []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
+            self.encode_words(list(new))
+        known = self.words.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, runs of bytes as UTF-8, marks as spaces, the first mark away."""
-        pieces, byte_of = self.pieces, self.byte_of
-        parts: list[str] = []
-        run = bytearray()
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                parts.append(run.decode("utf-8", "replace"))
-                run.clear()
-            parts.append(pieces[i])
-        if run:
-            parts.append(run.decode("utf-8", "replace"))
-        text = "".join(parts)
+        # bytes that are no ASCII are lone surrogates until the whole is UTF-8; no piece starts within a character
+        text = "".join(map(self.shown.__getitem__, ids))
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text.removeprefix(MARK).replace(MARK, " ")
 
 

@@ -78,3 +78,36 @@ def test_long_words(letters, length):
     text = "".join(coin.choice(letters) for _ in range(length))
     model = sentencepieces.PieceModel(PATH)
     assert model.encode([text])[0] == model.processor.encode(text)
+
+
+def test_new_words_cost_little_beside_the_library():
+    """Edges are looked up by place and length: no sort of them, and no search for each pair of each round."""
+    import random
+    import time
+
+    coin = random.Random(5)
+    words = sorted({"".join(coin.choices("etaoinshrdlu", k=coin.randint(4, 12))) for _ in range(40_000)})
+    model = sentencepieces.PieceModel(PATH)
+
+    def least(work):
+        took = []
+        for _ in range(4):
+            model.words.clear()
+            before = time.process_time()
+            work()
+            took.append(time.process_time() - before)
+        return min(took)
+
+    text = " ".join(words)
+    assert model.encode([text])[0] == model.processor.encode(text)
+    assert least(lambda: model.encode([text])) < 3.5 * least(lambda: model.processor.encode(text))
+
+
+def test_bytes_between_pieces_decode_as_before():
+    """Whole and broken runs of bytes, beside pieces and at the ends."""
+    model = sentencepieces.PieceModel(PATH)
+    a, e, byte = model.processor.piece_to_id("a"), model.processor.piece_to_id("é"), model.by_byte
+    for run in ([0xE2, 0x96, 0x81], [0xE3, 0x81], [0x81], [0xF0, 0x9F, 0x99, 0x82], [0x0A], [0xC3, 0x0A, 0xA9]):
+        shown = bytes(run).decode("utf-8", "replace").replace("▁", " ")
+        ids = [byte[b] for b in run]
+        assert model.decode([a, *ids, e, *ids]) == model.decode([a]) + shown + model.decode([e]) + shown
